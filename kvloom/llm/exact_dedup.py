@@ -46,6 +46,7 @@ def run_stream(feed_path: str, schema, spark, checkpoint: str, files_per_batch:
     """
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores: no space reserved ahead for each
     try:
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(feed_path)
         query = keyed_state(stream).writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
