@@ -15,7 +15,34 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from kvloom.llm.bpe import encode_decode
+
+    return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from kvloom.llm.common import scratch
+    from kvloom.llm.token_store import read_store, write_store
+
+    path = scratch(spark, "token_store")
+    write_store(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_store(spark, path)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from kvloom.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=1)
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_token_store": op5_token_store, "op8_packing": op8_packing}
 
 ORACLES = {
     "op1_exact_dedup": r"""
