@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 #: White space of Python or of the tokenisers besides space and newline; fixed values.
-OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
+OTHER_SPACE = "".join(map(chr, [0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 STOPS = frozenset(".,;:!?")
 
