@@ -42,7 +42,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=1)
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_token_store": op5_token_store, "op8_packing": op8_packing}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kvloom.llm.jaccard_join import jaccard_classes
+
+    return jaccard_classes(_table(spark, sf_dir, "documents"), 75, 100)
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_token_store": op5_token_store, "op8_packing": op8_packing, "op9_jaccard_join": op9_jaccard_join}
 
 ORACLES = {
     "op1_exact_dedup": r"""
