@@ -15,6 +15,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kvloom.llm.suffix_dedup import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"), 200)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,7 +54,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"), 75, 100)
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_token_store": op5_token_store, "op8_packing": op8_packing, "op9_jaccard_join": op9_jaccard_join}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_token_store": op5_token_store, "op8_packing": op8_packing, "op9_jaccard_join": op9_jaccard_join}
 
 ORACLES = {
     "op1_exact_dedup": r"""
