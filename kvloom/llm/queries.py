@@ -40,6 +40,14 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kvloom.llm.language_id import fit, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs.select("doc_id", "text", "lang"))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,7 +62,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"), 75, 100)
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_token_store": op5_token_store, "op8_packing": op8_packing, "op9_jaccard_join": op9_jaccard_join}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_token_store": op5_token_store, "op6_language_id": op6_language_id, "op8_packing": op8_packing, "op9_jaccard_join": op9_jaccard_join}
 
 ORACLES = {
     "op1_exact_dedup": r"""
