@@ -62,7 +62,13 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"), 75, 100)
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_token_store": op5_token_store, "op6_language_id": op6_language_id, "op8_packing": op8_packing, "op9_jaccard_join": op9_jaccard_join}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kvloom.llm.pii import replace_entities
+
+    return replace_entities(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op4_byte_bpe": op4_byte_bpe, "op5_token_store": op5_token_store, "op6_language_id": op6_language_id, "op8_packing": op8_packing, "op9_jaccard_join": op9_jaccard_join, "op10_pii": op10_pii}
 
 ORACLES = {
     "op1_exact_dedup": r"""
