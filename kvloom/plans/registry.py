@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from kvloom.plans import statistics, trace
+
+BOOKS = [trace.BOOK, statistics.BOOK]
+QUERIES: dict = {name: f for b in BOOKS for name, f in b.queries.items()}
+ORACLES: dict = {name: sql for b in BOOKS for name, sql in b.oracles.items()}
