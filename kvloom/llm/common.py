@@ -2,42 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kvloom.session import drop, scratch, stored  # noqa: F401  used by the operators
+
 #: Ids sent to every executor at most; beyond it a join shuffles both sides instead.
 BROADCAST_ROWS = 1_000_000
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir (shared by all executors), deleted when the application ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/kvloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
-
-
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Delete scratch folders that no later step reads."""
-    for path in paths:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write df to a scratch folder and read it back, which cuts its lineage and survives lost executors."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if a count shows that it has at most `rows` narrow rows, else df itself."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
