@@ -24,24 +24,24 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], rank: str = "r
     (end it with a unique column), else ties take any order. No groups: the whole frame is one group.
     """
     running = running or {}
-    keys = [f"_g{i}" for i in range(len(groups))]
-    sums = [f"_s{i}" for i in range(len(running))]
+    keys = [f"_rk_g{i}" for i in range(len(groups))]
+    sums = [f"_rk_s{i}" for i in range(len(running))]
     flat = df.select("*", *[F.col(g).alias(k) for k, g in zip(keys, groups)], *[c.alias(s) for s, c in zip(sums, running.values())])
     # written once: range bounds come from a sample, so two evaluations could deal the rows out differently
-    spread = flat.repartitionByRange(_parts(df), *[F.col(k) for k in keys], *order).withColumn("_pid", F.spark_partition_id())
+    spread = flat.repartitionByRange(_parts(df), *[F.col(k) for k in keys], *order).withColumn("_rk_pid", F.spark_partition_id())
     spread = stored(spread, scratch(df.sparkSession, "ranked"))
-    inside = Window.partitionBy("_pid", *keys).orderBy(*order)
-    local = spread.withColumn("_r", F.row_number().over(inside) - 1)
+    inside = Window.partitionBy("_rk_pid", *keys).orderBy(*order)
+    local = spread.withColumn("_rk_r", F.row_number().over(inside) - 1)
     for s in sums:
         local = local.withColumn(f"{s}_in", F.sum(s).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    counts = spread.groupBy("_pid", *keys).agg(F.count("*").alias("_n"), *[F.sum(s).alias(f"{s}_n") for s in sums])
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    counts = spread.groupBy("_rk_pid", *keys).agg(F.count("*").alias("_rk_n"), *[F.sum(s).alias(f"{s}_n") for s in sums])
+    before = Window.partitionBy(*keys).orderBy("_rk_pid").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    offsets = counts.select("_pid", *[F.col(k).alias(f"{k}_") for k in keys], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_total"), *[F.coalesce(F.sum(f"{s}_n").over(before), F.lit(0)).alias(f"{s}_before") for s in sums])
-    out = local.join(offsets.withColumnRenamed("_pid", "_pid_"), (F.col("_pid") == F.col("_pid_")) & _same(keys), "left")
-    picked = [(F.col("_r") + F.col("_before")).cast("long").alias(rank)]
+    offsets = counts.select("_rk_pid", *[F.col(k).alias(f"{k}_") for k in keys], F.coalesce(F.sum("_rk_n").over(before), F.lit(0)).alias("_rk_before"), F.sum("_rk_n").over(whole).alias("_rk_total"), *[F.coalesce(F.sum(f"{s}_n").over(before), F.lit(0)).alias(f"{s}_before") for s in sums])
+    out = local.join(offsets.withColumnRenamed("_rk_pid", "_rk_pid_"), (F.col("_rk_pid") == F.col("_rk_pid_")) & _same(keys), "left")
+    picked = [(F.col("_rk_r") + F.col("_rk_before")).cast("long").alias(rank)]
     if total:
-        picked.append(F.col("_total").cast("long").alias(total))
+        picked.append(F.col("_rk_total").cast("long").alias(total))
     picked += [(F.col(f"{s}_in") + F.col(f"{s}_before")).alias(n) for n, s in zip(running, sums)]
     return out.select(*[F.col(c) for c in df.columns], *picked)
 

@@ -69,7 +69,7 @@ def win5_sample(spark, d):
     return stats.systematic_sample(table(spark, d, "events").select("event_id", "ts"), [F.col("ts"), F.col("event_id")], 7).select("event_id", "arrival")
 
 
-@BOOK.add("win6_pacing", "SELECT event_id, round(100.0::DOUBLE + CAST(epoch_ms(ts) - (SELECT min(epoch_ms(ts)) FROM events) AS DOUBLE) / 2000.0::DOUBLE, 6) AS target FROM events")
+@BOOK.add("win6_pacing", "SELECT event_id, round(100.0::DOUBLE + CAST(epoch_us(ts) // 1000 - (SELECT min(epoch_us(ts) // 1000) FROM events) AS DOUBLE) / 2000.0::DOUBLE, 6) AS target FROM events")
 def win6_pacing(spark, d):
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     return stats.pacing(table(spark, d, "events"), ms, 100.0, 2.0).select("event_id", F.round("target", 6).alias("target"))
