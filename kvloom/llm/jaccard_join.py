@@ -24,7 +24,9 @@ from kvloom.llm.common import Powers, blocks, components, drop, mix64, scratch,
 
 WORDS = 5
 #: Log2 of the counters of the frequency sketch; prefix shingles a bucket of the index holds on average.
-SKETCH_BITS, BUCKET = 20, 200_000
+SKETCH_BITS, BUCKET = 21, 200_000
+#: List members that a task pairs on average; pairs of them looked at together.
+MEMBERS, TOGETHER = 100_000, 1 << 20
 #: Members of a list that are paired with each other in one task; longer lists are dealt out in such blocks.
 BLOCK = 1024
 _SPACE = np.zeros(256, bool)
@@ -82,24 +84,26 @@ def fold(bits: np.ndarray, n: int) -> np.ndarray:
 
 def first_pass(docs: DataFrame, seed: int) -> DataFrame:
     """Per document its set's size and two 64-bit signatures; per task the slices of its frequency sketch."""
-    schema = "doc_id long, n long, sig long, sig2 long, slice int, counts binary"
+    schema = "doc_id long, n long, sig long, sig2 long, bits binary, slice int, counts binary"
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
         names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
-            n, sig, sig2 = [], [], []
+            n, sig, sig2, bits = [], [], [], []
             for one in shingle_sets(texts_of(batch), seed):
                 np.add.at(sketch, one & np.uint64(len(sketch) - 1), 1)
                 n.append(len(one))
                 sig.append(mix64(np.array([one.sum(dtype=np.uint64) + np.uint64(len(one))], np.uint64))[0].astype(np.int64))
                 sig2.append(mix64(one ^ _STEP).sum(dtype=np.uint64).astype(np.int64))
+                bits.append(bitmap(one))
             none = [None] * len(n)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((batch.column(0).to_pylist(), n, sig, sig2, none, none), types)], names=names)
-        slices = sketch.reshape(64, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((batch.column(0).to_pylist(), n, sig, sig2, bits, none, none), types)], names=names)
+        # a task's counts are held at 255, which is frequent anyway
+        slices = np.minimum(sketch, 255).astype(np.uint8).reshape(64, -1)
         none = [None] * 64
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((none, none, none, none, range(64), [s.tobytes() for s in slices]), types)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((none, none, none, none, none, range(64), [s.tobytes() for s in slices]), types)], names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -111,7 +115,7 @@ def merged_sketch(slices: DataFrame) -> np.ndarray:
         total = None
         for b in batches:
             for c in b.column(1).to_pylist():
-                one = np.frombuffer(c, np.uint32).astype(np.uint64)
+                one = np.frombuffer(c, np.uint8).astype(np.uint64)
                 total = one if total is None else total + one
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
 
@@ -122,7 +126,8 @@ def merged_sketch(slices: DataFrame) -> np.ndarray:
 def prefixes(docs: DataFrame, seed: int, sketch: np.ndarray, buckets: int, num: int, den: int) -> DataFrame:
     """Prefix shingles with their node, packed per bucket: (bucket, tokens, sigs, sizes) as binary arrays."""
     classes = np.zeros(len(sketch), np.uint64)
-    unit = 4 * float(sketch.mean()) + 16
+    mean = float(sketch.mean())
+    unit = mean + 5 * mean**0.5 + 4  # what rare shingles that share a counter rarely reach
     heavy = sketch > unit
     classes[heavy] = np.floor(np.log2(sketch[heavy] / unit)).astype(np.uint64) + np.uint64(1)
     rank = docs.sparkSession.sparkContext.broadcast(np.minimum(classes, 31).astype(np.uint8))
@@ -191,41 +196,84 @@ def index_lists(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(run, "list long, sig long, n long")
 
 
+def possible(n: np.ndarray, bits: list[bytes], i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of rows (i, j) the parity bitmaps allow to have Jaccard >= num / den."""
+    width = np.array([len(b) // 8 for b in bits])
+    least = np.minimum(width[i], width[j])
+    keep = np.zeros(len(i), bool)
+    for w in np.unique(least):
+        some = np.flatnonzero(least == w)
+        rows = np.unique(np.concatenate([i[some], j[some]]))
+        folded = np.empty((len(rows), w), np.uint64)
+        for wide in np.unique(width[rows]):
+            own = np.flatnonzero(width[rows] == wide)
+            folded[own] = fold(np.frombuffer(b"".join(bits[r] for r in rows[own]), np.uint64).reshape(len(own), wide), w)
+        a, b = np.searchsorted(rows, i[some]), np.searchsorted(rows, j[some])
+        differ = np.bitwise_count(folded[a] ^ folded[b]).sum(1, dtype=np.int64)
+        # |x and y| <= (|x| + |y| - differ) / 2
+        total = n[i[some]] + n[j[some]]
+        overlap = (total - differ) // 2
+        keep[some] = den * overlap >= num * (total - overlap)
+    return keep
+
+
 def cross_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pairs within a list that lie in different components and whose sizes and bitmaps allow a link."""
+    """(a, b): pairs within a list that lie in different components and whose sizes and bitmaps allow a link.
+
+    A list of more than BLOCK members is dealt out in pairs of blocks; shorter ones share tasks.
+    """
 
     def run(pdf):
         import pandas as pd
 
-        pdf = pdf.drop_duplicates("sig").sort_values(["n", "sig"], ignore_index=True)
-        n, comp, sig, block = (pdf[c].to_numpy() for c in ("n", "comp", "sig", "own"))
-        words = [len(b) // 8 for b in pdf["bits"]]
-        apart = len(np.unique(block)) > 1
-        out = []
-        for i in range(len(pdf)):
-            # skip to the end of the sizes that can reach the threshold
-            stop = np.searchsorted(n, n[i] * den // num, side="right")
-            j = np.arange(i + 1, stop)
-            j = j[(comp[j] != comp[i]) & ((block[j] != block[i]) | (not apart))]
-            if len(j):
-                own = np.frombuffer(pdf["bits"][i], np.uint64)[None]
-                for w in set(words[k] for k in j):
-                    some = np.array([k for k in j if words[k] == w])
-                    other = np.frombuffer(b"".join(pdf["bits"][k] for k in some), np.uint64).reshape(len(some), w)
-                    least = min(w, own.shape[1])
-                    differ = np.bitwise_count(fold(own, least) ^ fold(other, least)).sum(1)
-                    # |x and y| <= (|x| + |y| - differ) / 2, and Jaccard >= num / den
-                    overlap = (n[i] + n[some] - differ) // 2
-                    some = some[den * overlap >= num * (n[i] + n[some] - overlap)]
-                    out.append(np.stack([np.full(len(some), sig[i]), sig[some]], 1))
+        pdf = pdf.sort_values(["list", "lo", "hi", "n", "sig"], ignore_index=True)
+        n, comp, sig, own, lo, hi = (pdf[c].to_numpy() for c in ("n", "comp", "sig", "own", "lo", "hi"))
+        head = np.append(True, (pdf["list"].to_numpy()[1:] != pdf["list"].to_numpy()[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))[: len(pdf)]
+        start = np.flatnonzero(head)
+        end = np.repeat(np.append(start[1:], len(pdf)), np.diff(np.append(start, len(pdf))))
+        # members are in order of size: skip to the end of the sizes that can reach the threshold
+        group = np.cumsum(head) * (int(n.max()) * 2 + 2 if len(n) else 1)
+        stop = np.minimum(end, np.searchsorted(group + n, group + np.minimum(n * den // num, int(n.max()) if len(n) else 0), side="right"))
+        count = stop - np.arange(len(pdf)) - 1
+        bits = pdf["bits"].tolist()
+        out, at, sums = [], 0, np.cumsum(count)
+        while at < len(pdf):
+            till = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + TOGETHER)))
+            i = np.repeat(np.arange(at, till), count[at:till])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count[at:till]) - count[at:till], count[at:till])
+            keep = (comp[i] != comp[j]) & ((lo[i] == hi[i]) | (own[i] != own[j])) & (sig[i] != sig[j])
+            i, j = i[keep], j[keep]
+            if len(i):
+                a, b = np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])
+                _, first = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
+                i, j = i[first], j[first]
+                good = possible(n, bits, i, j, num, den)
+                out.append(np.stack([sig[i[good]], sig[j[good]]], 1))
+            at = till
         got = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": got.min(1), "b": got.max(1)}) if len(got) else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        return pd.DataFrame({"a": got.min(1), "b": got.max(1)} if len(got) else {"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
 
-    long = rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    dealt = rows.join(long, "list").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int"))
+    sizes = rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    total = rows.count()
+    dealt = rows.join(sizes, "list").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("list", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "sig", "n", "comp", "bits")
-    return dealt.groupBy("list", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+    task = F.when(F.col("nb") == 1, F.pmod(F.xxhash64("list"), F.lit(max(8, total // MEMBERS + 1)))).otherwise(F.xxhash64("list", "lo", "hi"))
+    dealt = dealt.select("list", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "nb", "sig", "n", "comp", "bits").withColumn("task", task)
+    return dealt.drop("nb").groupBy("task").applyInPandas(run, "a long, b long").distinct()
+
+
+def unlikely_dropped(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that sizes and bitmaps allow."""
+
+    def run(batches):
+        for batch in batches:
+            k = batch.num_rows
+            n = np.concatenate([batch.column(2).to_numpy(), batch.column(3).to_numpy()])
+            good = possible(n, batch.column(4).to_pylist() + batch.column(5).to_pylist(), np.arange(k), np.arange(k, 2 * k), num, den)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good)) for i in (0, 1)], names=["a", "b"])
+
+    left, right = (bits.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
 
 
 def compared(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -264,8 +312,8 @@ def jaccard_classes(docs: DataFrame, num: int = 75, den: int = 100, id_col: str
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     for seed in range(8):
         first = stored(first_pass(docs, seed), f"{path}/first{seed}")
-        per_doc = first.where("slice is null").select("doc_id", "n", "sig", "sig2")
-        sets = stored(per_doc.groupBy("sig", "sig2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), f"{path}/sets{seed}")
+        per_doc = first.where("slice is null").select("doc_id", "n", "sig", "sig2", "bits")
+        sets = stored(per_doc.groupBy("sig", "sig2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits")), f"{path}/sets{seed}")
         if sets.groupBy("sig").count().where("count > 1").isEmpty():
             break  # else two sets have one signature: take other hashes
     sketch = merged_sketch(first.where("slice is not null").select("slice", "counts"))
@@ -273,31 +321,38 @@ def jaccard_classes(docs: DataFrame, num: int = 75, den: int = 100, id_col: str
     buckets = max(8, int(size * (den - num) / den / BUCKET) + 1)
     lists = stored(index_lists(prefixes(docs.select("doc_id", "text"), seed, sketch, buckets, num, den)).dropDuplicates(["list", "sig"]), f"{path}/lists")
 
-    # the sets of all members, computed once from their texts
-    members = lists.select("sig").distinct().join(sets.select("sig", "doc_id"), "sig").select("sig", "doc_id")
-    members = small(stored(members, f"{path}/members"))
-
     def as_nodes(batches):
         for batch in batches:
             found = list(shingle_sets(texts_of(batch), seed))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([bitmap(x) for x in found], pa.binary())], names=["sig", "n", "shingles", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], names=["sig", "shingles"])
+
+    repeats = docs_repeat(docs)
 
-    nodes = docs.join(members, "doc_id").select("sig", "text").mapInArrow(as_nodes, "sig long, n long, shingles binary, bits binary")
-    nodes = stored(nodes.dropDuplicates(["sig"]) if docs_repeat(docs) else nodes, f"{path}/nodes")
+    def linked(pairs, name):
+        """Pairs that are links: only the texts of documents in pairs that the bitmaps allow are read again."""
+        members = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(sets.select("sig", "doc_id"), "sig")
+        members = small(stored(members, f"{path}/members_{name}"))
+        nodes = docs.join(members, "doc_id").select("sig", "text").mapInArrow(as_nodes, "sig long, shingles binary")
+        nodes = stored(nodes.dropDuplicates(["sig"]) if repeats else nodes, f"{path}/nodes_{name}")
+        found = stored(compared(pairs, nodes, num, den), f"{path}/links_{name}")
+        drop(spark, f"{path}/nodes_{name}", f"{path}/members_{name}")
+        return found
 
+    bits = sets.select("sig", "n", "bits")
     leaders = lists.groupBy("list").agg(F.min(F.struct("sig", "n")).alias("lead"))
     stars = lists.join(leaders, "list").select(F.col("lead.sig").alias("a"), F.col("sig").alias("b"), F.col("lead.n").alias("m"), "n")
-    stars = stars.where(f"a <> b and {num} * greatest(m, n) <= {den} * least(m, n)").select("a", "b").distinct()
-    links = stored(compared(stars, nodes, num, den), f"{path}/links0")
+    stars = stored(stars.where(f"a <> b and {num} * greatest(m, n) <= {den} * least(m, n)").select("a", "b").distinct(), f"{path}/stars")
+    links = linked(stored(unlikely_dropped(stars, bits, num, den), f"{path}/likely"), "star")
     labels, used = components(links, "jaccard_star")
 
     open_ = lists.join(labels.select(F.col("node").alias("sig"), F.col("component").alias("c")), "sig", "left").withColumn("comp", F.coalesce("c", "sig")).drop("c")
+    open_ = stored(open_, f"{path}/open")
     mixed = open_.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
-    rows = open_.join(mixed, "list").join(nodes.select("sig", "bits"), "sig")
-    pairs = cross_pairs(rows, num, den).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = stored(compared(pairs, nodes, num, den), f"{path}/links1")
+    rows = stored(open_.join(mixed, "list").join(bits.select("sig", "bits"), "sig"), f"{path}/rows")
+    pairs = cross_pairs(rows, num, den).join(stars, ["a", "b"], "left_anti")
+    more = linked(stored(pairs, f"{path}/pairs"), "cross")
     labels, used2 = components(links.union(more), "jaccard_all")
-    drop(spark, f"{path}/nodes", f"{path}/lists", *used)
+    drop(spark, *(f"{path}/{x}" for x in ("lists", "open", "rows", "stars")), *used)
 
     placed = sets.join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     # a set without shingles links with nothing, not even with another empty one
