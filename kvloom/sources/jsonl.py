@@ -23,7 +23,7 @@ def read_replay(spark: SparkSession, path: str) -> DataFrame:
 
     Each line must hold all fields, schema_version 1 and a known operation. Line numbers need whole files, so a file is one partition.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "value")).where(F.trim("value") != "")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value")).where(F.trim("value") != "")
     r = lines.select((F.col("line") + 1).alias("line"), F.from_json("value", REPLAY).alias("r"))
     needed = ("op_id", "lane", "op", "object_id", "key", "invoke_ns", "return_ns", "result")
     bad = F.col("r").isNull() | (F.coalesce(F.col("r.schema_version"), F.lit(0)) != 1) | ~F.coalesce(F.col("r.op").isin(*OPERATIONS), F.lit(False))
