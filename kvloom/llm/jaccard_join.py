@@ -27,6 +27,8 @@ WORDS = 5
 SKETCH_BITS, BUCKET = 21, 200_000
 #: List members that a task pairs on average; pairs of them looked at together.
 MEMBERS, TOGETHER = 100_000, 1 << 20
+#: Members of a list from which on its pairs are ruled out by bitmaps of WIDE bits a shingle instead of one.
+LONG, WIDE = 48, 16
 #: Members of a list that are paired with each other in one task; longer lists are dealt out in such blocks.
 BLOCK = 1024
 _SPACE = np.zeros(256, bool)
@@ -68,9 +70,9 @@ def shingle_sets(texts: list[bytes], seed: int = 0, words: int = WORDS):
                 yield np.empty(0, np.uint64)
 
 
-def bitmap(one: np.ndarray) -> bytes:
-    """Parity bitmap: each hash flips a bit; at least two bits a hash. Halves of a longer one fold by xor."""
-    bits = max(64, 1 << int(2 * len(one) - 1).bit_length())
+def bitmap(one: np.ndarray, per: int = 1) -> bytes:
+    """Parity bitmap: each hash flips a bit; at least `per` bits a hash. Halves of a longer one fold by xor."""
+    bits = max(64, 1 << max(0, per * len(one) - 1).bit_length())
     return np.packbits(np.bincount((one >> np.uint64(8)) & np.uint64(bits - 1), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -120,6 +122,8 @@ def merged_sketch(slices: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
 
     got = slices.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
+    if not got:
+        return np.zeros(1 << SKETCH_BITS, np.uint64)
     return np.concatenate([np.frombuffer(r["counts"], np.uint64) for r in sorted(got, key=lambda r: r["slice"])])
 
 
@@ -217,10 +221,11 @@ def possible(n: np.ndarray, bits: list[bytes], i: np.ndarray, j: np.ndarray, num
     return keep
 
 
-def cross_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+def cross_pairs(rows: DataFrame, bits: DataFrame, wide_bits, num: int, den: int) -> DataFrame:
     """(a, b): pairs within a list that lie in different components and whose sizes and bitmaps allow a link.
 
-    A list of more than BLOCK members is dealt out in pairs of blocks; shorter ones share tasks.
+    A list of more than BLOCK members is dealt out in pairs of blocks; shorter ones share tasks. Bitmaps join the
+    members last, so that they are shuffled once; wide_bits(sigs) makes those of the members of long lists.
     """
 
     def run(pdf):
@@ -253,13 +258,16 @@ def cross_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
         got = np.concatenate(out) if out else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": got.min(1), "b": got.max(1)} if len(got) else {"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
 
-    sizes = rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    sizes = rows.groupBy("list").agg(F.count("*").alias("m"))
     total = rows.count()
-    dealt = rows.join(sizes, "list").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int"))
+    dealt = rows.join(sizes, "list").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
     task = F.when(F.col("nb") == 1, F.pmod(F.xxhash64("list"), F.lit(max(8, total // MEMBERS + 1)))).otherwise(F.xxhash64("list", "lo", "hi"))
-    dealt = dealt.select("list", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "nb", "sig", "n", "comp", "bits").withColumn("task", task)
-    return dealt.drop("nb").groupBy("task").applyInPandas(run, "a long, b long").distinct()
+    dealt = dealt.select("list", "lo", "hi", "own", "sig", "n", "comp", (F.col("m") >= LONG).alias("long"), task.alias("task"))
+    wide = wide_bits(sizes.where(f"m >= {LONG}").join(rows, "list").select("sig").distinct())
+    full = dealt.where("not long").join(bits, "sig").unionByName(dealt.where("long").join(wide, "sig"))
+    return full.select("list", "lo", "hi", "own", "sig", "n", "comp", "bits", "task").groupBy("task").applyInPandas(run, "a long, b long").distinct()
 
 
 def unlikely_dropped(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
@@ -321,21 +329,24 @@ def jaccard_classes(docs: DataFrame, num: int = 75, den: int = 100, id_col: str
     buckets = max(8, int(size * (den - num) / den / BUCKET) + 1)
     lists = stored(index_lists(prefixes(docs.select("doc_id", "text"), seed, sketch, buckets, num, den)).dropDuplicates(["list", "sig"]), f"{path}/lists")
 
-    def as_nodes(batches):
-        for batch in batches:
-            found = list(shingle_sets(texts_of(batch), seed))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], names=["sig", "shingles"])
-
     repeats = docs_repeat(docs)
 
+    def read_again(sigs, name, make, column):
+        """(sig, column) of the documents of some nodes, made anew from their texts; other texts don't move."""
+        members = small(stored(sigs.join(sets.select("sig", "doc_id"), "sig"), f"{path}/members_{name}"))
+
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make(x) for x in shingle_sets(texts_of(batch), seed)], pa.binary())], names=["sig", column])
+
+        made = docs.join(members, "doc_id").select("sig", "text").mapInArrow(run, f"sig long, {column} binary")
+        return stored(made.dropDuplicates(["sig"]) if repeats else made, f"{path}/{column}_{name}")
+
     def linked(pairs, name):
         """Pairs that are links: only the texts of documents in pairs that the bitmaps allow are read again."""
-        members = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(sets.select("sig", "doc_id"), "sig")
-        members = small(stored(members, f"{path}/members_{name}"))
-        nodes = docs.join(members, "doc_id").select("sig", "text").mapInArrow(as_nodes, "sig long, shingles binary")
-        nodes = stored(nodes.dropDuplicates(["sig"]) if repeats else nodes, f"{path}/nodes_{name}")
+        nodes = read_again(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), name, lambda x: x.tobytes(), "shingles")
         found = stored(compared(pairs, nodes, num, den), f"{path}/links_{name}")
-        drop(spark, f"{path}/nodes_{name}", f"{path}/members_{name}")
+        drop(spark, f"{path}/shingles_{name}", f"{path}/members_{name}")
         return found
 
     bits = sets.select("sig", "n", "bits")
@@ -348,8 +359,8 @@ def jaccard_classes(docs: DataFrame, num: int = 75, den: int = 100, id_col: str
     open_ = lists.join(labels.select(F.col("node").alias("sig"), F.col("component").alias("c")), "sig", "left").withColumn("comp", F.coalesce("c", "sig")).drop("c")
     open_ = stored(open_, f"{path}/open")
     mixed = open_.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
-    rows = stored(open_.join(mixed, "list").join(bits.select("sig", "bits"), "sig"), f"{path}/rows")
-    pairs = cross_pairs(rows, num, den).join(stars, ["a", "b"], "left_anti")
+    rows = stored(open_.join(mixed, "list"), f"{path}/rows")
+    pairs = cross_pairs(rows, bits.select("sig", "bits"), lambda sigs: read_again(sigs, "long", lambda x: bitmap(x, WIDE), "bits"), num, den).join(stars, ["a", "b"], "left_anti")
     more = linked(stored(pairs, f"{path}/pairs"), "cross")
     labels, used2 = components(links.union(more), "jaccard_all")
     drop(spark, *(f"{path}/{x}" for x in ("lists", "open", "rows", "stars")), *used)
