@@ -25,14 +25,13 @@ _KEPT[128:] = np.arange(128, 256)
 
 def vectors(texts: list[str]):
     """Counts of n-grams, (index of the first text, matrix): letters lower-cased, all else one space."""
-    raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    raw = [b" %b " % t.lower().encode("utf-8", "surrogatepass") for t in texts]
     for first, part in blocks(raw, 1 << 19):
         for start in range(0, len(part), 256):
             some = part[start : start + 256]
-            buf = _KEPT[np.frombuffer(b" " + b" ".join(some) + b" ", np.uint8)]
-            doc = np.repeat(np.arange(len(some)), [len(t) + 1 for t in some])
-            doc = np.append(np.append(doc[:1], doc), doc[-1:])[: len(buf)]
-            keep = np.append(True, (buf[1:] != 32) | (buf[:-1] != 32))
+            buf = _KEPT[np.frombuffer(b"".join(some), np.uint8)]
+            doc = np.repeat(np.arange(len(some)), [len(t) for t in some])
+            keep = np.append(True, (buf[1:] != 32) | (buf[:-1] != 32) | (doc[1:] != doc[:-1]))
             buf, doc = buf[keep].astype(np.uint64), doc[keep]
             out = np.zeros(len(some) * FEATURES, np.float32)
             for n in GRAMS:
@@ -102,7 +101,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     idf = np.log((1 + len(everything)) / (1 + (everything > 0).sum(0))).astype(np.float32) + 1
     centroids, owner, floor = [], [], []
     for k, lang in enumerate(langs):
-        x = unit(np.log1p(np.stack(by[lang])) * idf)
+        x = unit(np.log1p(np.stack(by[lang]).astype(np.float64)) * idf)
         c = clustered(x, CENTROIDS)
         centroids.append(c)
         owner += [k] * len(c)
