@@ -16,15 +16,17 @@ from pyspark.sql import functions as F
 from kvloom.llm.common import scratch, small, stored
 
 # Forms of entities (Java patterns), titles by gender and script, given names and syllables of surnames.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
+# Every form starts where no letter, digit or underscore stands before it, which ENTITY checks once for all.
+EMAIL = r"[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-IPV4 = rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?![\d]|\.\d)"
-SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"(?<![\w+(])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"
-CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w])"
-KEY = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,64}\b"
-SECRET = r"(?<=(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey|PASSWORD|SECRET|TOKEN|API_KEY)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_+/-]{6,128}"
-IBAN = r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b"
+IPV4 = rf"(?<!\.){OCTET}(?:\.{OCTET}){{3}}(?![\d]|\.\d)"
+SSN = r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])"
+PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"
+CARD = r"(?<![.-])\d(?:[ -]?\d){12,18}(?!\w)"
+KEY = r"(?:AKIA|ASIA)[0-9A-Z]{16}\b|gh[pousr]_[A-Za-z0-9]{36}\b|sk-[A-Za-z0-9]{20,64}\b"
+SECRET_NAME = r"(?:[Pp]assw(?:or)?d|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey|PASSWORD|SECRET|TOKEN|API_KEY)[ ]{0,2}[=:][ ]{0,2}[\"']?"
+SECRET = SECRET_NAME + r"[A-Za-z0-9_+/-]{6,128}"
+IBAN = r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b"
 TITLES = {
     ("m", "latin"): ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don"],
     ("f", "latin"): ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña"],
@@ -42,20 +44,26 @@ SYLLABLES = {
     "cyrillic": "ба бе бо да де до за зо ка ке ко ла ле ло ма ме мо на не но ра ре ро са се со та те то ва ве во".split(),
 }
 NAME = r"\p{Lu}\p{L}*(?:['’-]\p{L}+)*"
-PERSON = rf"\b(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.? {NAME}(?: {NAME})?"
-KINDS = ("email", "key", "secret", "ip", "ssn", "card", "phone", "iban", "person")
-ENTITY = "(?U:" + PERSON + ")|" + "|".join((EMAIL, KEY, SECRET, IPV4, SSN, IBAN, PHONE, CARD))
+PERSON = rf"(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.? {NAME}(?: {NAME})?"
+LETTERS_FIRST = "|".join((PERSON, EMAIL, KEY, SECRET, IBAN))
+ENTITY = rf"(?<![\p{{L}}\p{{N}}_])(?:(?=[\d+(])(?:{'|'.join((IPV4, SSN, PHONE, CARD, EMAIL))})|(?=[^\d(\s])(?:{LETTERS_FIRST}))"
+#: Characters that mark found entities while a text is taken apart; texts' own are written as MARK_OWN or ESCAPE_OWN.
+MARK, ESCAPE, MARK_OWN, ESCAPE_OWN = "\x01", "\x02", "\x02\x03", "\x02\x04"
 #: Tries to give colliding entities different replacements.
 TRIES = 16
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with the value worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def kind_of(e: Column) -> Column:
     """The type of a matched entity."""
     whole = lambda p: e.rlike(rf"^(?:{p})$")
-    digits = F.length(F.regexp_replace(e, r"\D", ""))
     return (
-        F.when(e.contains("@"), "email").when(whole(KEY), "key").when(whole(rf"{OCTET}(?:\.{OCTET}){{3}}"), "ip").when(whole(r"\d{3}-\d{2}-\d{4}"), "ssn")
-        .when(e.rlike(rf"^(?U:{PERSON})$"), "person").when(whole(IBAN), "iban").when(whole(r"\d(?:[ -]?\d){12,18}") & (digits >= 13), "card").when(e.rlike(r"^[+(\d][\d ().-]*$") & e.rlike(r"[ ().+-]"), "phone").otherwise("secret")
+        F.when(whole(SECRET), "secret").when(e.contains("@"), "email").when(whole(KEY), "key").when(whole(rf"{OCTET}(?:\.{OCTET}){{3}}"), "ip").when(whole(r"\d{3}-\d{2}-\d{4}"), "ssn")
+        .when(whole(PERSON), "person").when(whole(IBAN), "iban").when(whole(r"\d(?:[ -]?\d){12,18}"), "card").otherwise("phone")
     )
 
 
@@ -87,20 +95,29 @@ def luhn(digits: Column) -> Column:
 
 
 def surrogate(e: Column, attempt: Column, key: str) -> Column:
-    """The replacement of an entity at an attempt."""
-    kind = kind_of(e)
-    h = digest(key, kind, e, attempt)
-    same = like(e, h)
-    email = F.concat(like(F.regexp_extract(e, r"^([^@]+)@", 1), h), F.lit("@"), F.lower(F.substring(F.translate(h, "0123456789", "ghijklmnop"), 150, 10)), F.lit(".example"))
-    ip = F.concat_ws(".", *[(number(h, i, 254) + 1).cast("string") for i in range(4)])
-    # the last digit keeps the Luhn sum modulo 10
-    body = F.concat(F.substring(e, 1, 1), same.substr(F.lit(2), F.length(e) - 2))
-    plain = lambda x: F.regexp_replace(x, r"\D", "")
-    card = F.concat(body, F.pmod(luhn(plain(e)) - luhn(F.concat(plain(body), F.lit("0"))), F.lit(10)).cast("string"))
-    phone = F.concat(F.regexp_extract(e, r"^(\+\d{1,3})?", 0), same.substr(F.length(F.regexp_extract(e, r"^(\+\d{1,3})?", 0)) + 1, F.length(e)))
-    aws = F.concat(F.regexp_extract(e, r"^(AKIA|ASIA|gh._|sk-)?", 0), same.substr(F.length(F.regexp_extract(e, r"^(AKIA|ASIA|gh._|sk-)?", 0)) + 1, F.length(e)))
-    iban = F.concat(e.substr(F.lit(1), F.lit(2)), same.substr(F.lit(3), F.length(e)))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "key", aws).when(kind == "iban", iban).when(kind == "person", person(e, attempt, key)).otherwise(same)
+    """The replacement of an entity at an attempt. A named secret keeps its name and depends on its value alone."""
+
+    def made(kind: Column) -> Column:
+        name = F.when(kind == "secret", F.regexp_extract(e, f"^{SECRET_NAME}", 0)).otherwise("")
+        return bound(F.struct(name.alias("name"), F.substring(e, F.length(name) + 1, 1 << 20).alias("value")), lambda v: F.concat(v["name"], bound(digest(key, kind, v["value"], attempt), lambda h: of_kind(v["value"], kind, h))))
+
+    def of_kind(x: Column, kind: Column, h: Column) -> Column:
+        return bound(like(x, h), lambda same: shaped(x, kind, h, same))
+
+    def shaped(x: Column, kind: Column, h: Column, same: Column) -> Column:
+        rest = lambda head: F.concat(head, same.substr(F.length(head) + 1, F.length(x)))
+        email = F.concat(like(F.regexp_extract(x, r"^([^@]+)@", 1), h), F.lit("@"), F.lower(F.substring(F.translate(h, "0123456789", "ghijklmnop"), 150, 10)), F.lit(".example"))
+        ip = F.concat_ws(".", *[(number(h, i, 254) + 1).cast("string") for i in range(4)])
+        # the last digit keeps the Luhn sum modulo 10
+        body = F.concat(F.substring(x, 1, 1), same.substr(F.lit(2), F.length(x) - 2))
+        plain = lambda y: F.regexp_replace(y, r"\D", "")
+        card = F.concat(body, F.pmod(luhn(plain(x)) - luhn(F.concat(plain(body), F.lit("0"))), F.lit(10)).cast("string"))
+        return (
+            F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", rest(F.regexp_extract(x, r"^(\+\d{1,3})?", 0))).when(kind == "key", rest(F.regexp_extract(x, r"^(AKIA|ASIA|gh._|sk-)?", 0)))
+            .when(kind == "iban", rest(F.substring(x, 1, 2))).when(kind == "person", person(x, attempt, key)).otherwise(same)
+        )
+
+    return bound(kind_of(e), made)
 
 
 def person(e: Column, attempt: Column, key: str) -> Column:
@@ -124,8 +141,18 @@ def person(e: Column, attempt: Column, key: str) -> Column:
     return F.concat(title, F.coalesce(chosen, made(("f", "latin"))))
 
 
-def entities(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+def taken_apart(text: Column) -> Column:
+    """Pieces of a text, at even places what lies between entities, at odd ones the entities: one pass of the pattern."""
+    own = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE_OWN)), F.lit(MARK), F.lit(MARK_OWN))
+    return F.split(F.regexp_replace(own, ENTITY, f"{MARK}$0{MARK}"), MARK, -1)
+
+
+def put_together(pieces: Column) -> Column:
+    return F.replace(F.replace(F.array_join(pieces, ""), F.lit(MARK_OWN), F.lit(MARK)), F.lit(ESCAPE_OWN), F.lit(ESCAPE))
+
+
+def entities(pieces: Column) -> Column:
+    return F.filter(pieces, lambda x, i: i % 2 == 1)
 
 
 def colliding(docs: DataFrame, key: str, path: str) -> DataFrame | None:
@@ -133,7 +160,7 @@ def colliding(docs: DataFrame, key: str, path: str) -> DataFrame | None:
 
     Each round compares all entities' replacements; of those that share one the smallest entity keeps it.
     """
-    every = docs.select(F.explode(entities(F.col("text"))).alias("entity")).distinct()
+    every = docs.select(F.explode(entities(taken_apart(F.col("text")))).alias("entity")).distinct()
     now = stored(every.select("entity", F.lit(0).alias("attempt"), surrogate(F.col("entity"), F.lit(0), key).alias("new")), f"{path}/try0")
     for t in range(1, TRIES + 1):
         shared = now.groupBy("new").agg(F.count("*").alias("n"), F.min("entity").alias("first")).where("n > 1")
@@ -157,18 +184,16 @@ def replace_entities(docs: DataFrame, key: str = "kvloom", text_col: str = "text
     spark = docs.sparkSession
     path = scratch(spark, "pii")
     moved = colliding(docs.select(F.col(text_col).alias("text")), key, path)
-    found = entities(F.col(text_col))
-    gaps = F.split(F.col(text_col), ENTITY, -1)
+    base = docs.withColumn("_pieces", taken_apart(F.col(text_col)))
     if moved is None:
-        base, attempt = docs, lambda e: F.lit(0)
+        attempt = lambda e: F.lit(0)
     else:
         # only rows with a moved entity get a table of attempts
-        base = docs.withColumn("_row", F.monotonically_increasing_id())
-        own = base.select("_row", F.explode(F.array_distinct(found)).alias("entity")).join(small(stored(moved, f"{path}/moved"), 100_000), "entity").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("_tries"))
+        base = base.withColumn("_row", F.monotonically_increasing_id())
+        own = base.select("_row", F.explode(F.array_distinct(entities(F.col("_pieces")))).alias("entity")).join(small(stored(moved, f"{path}/moved"), 100_000), "entity").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("_tries"))
         base = base.join(small(stored(own, f"{path}/own"), 100_000), "_row", "left")
         attempt = lambda e: F.coalesce(F.try_element_at(F.col("_tries"), e), F.lit(0))
-    made = F.transform(found, lambda e: surrogate(e, attempt(e), key))
-    text = F.array_join(F.flatten(F.zip_with(gaps, F.concat(made, F.array(F.lit(""))), lambda g, m: F.array(g, m))), "")
-    n = F.coalesce(F.size(found), F.lit(0))
-    n = F.when(F.col(text_col).isNull(), 0).otherwise(n)
-    return base.withColumns({"n_entities": n.cast("long"), text_col: F.when(F.col(text_col).rlike(ENTITY), text).otherwise(F.col(text_col))}).drop("_row", "_tries")
+    n = F.coalesce(F.floor(F.size("_pieces") / 2), F.lit(0))
+    n = F.when(F.col("_pieces").isNull(), 0).otherwise(n).cast("long")
+    made = F.transform("_pieces", lambda x, i: F.when(i % 2 == 1, surrogate(x, attempt(x), key)).otherwise(x))
+    return base.withColumns({"n_entities": n, text_col: F.when(F.size("_pieces") > 1, put_together(made)).otherwise(F.col(text_col))}).drop("_row", "_tries", "_pieces")
