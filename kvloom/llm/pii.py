@@ -45,8 +45,10 @@ SYLLABLES = {
 }
 NAME = r"\p{Lu}\p{L}*(?:['’-]\p{L}+)*"
 PERSON = rf"(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.? {NAME}(?: {NAME})?"
-LETTERS_FIRST = "|".join((PERSON, EMAIL, KEY, SECRET, IBAN))
-ENTITY = rf"(?<![\p{{L}}\p{{N}}_])(?:(?=[\d+(])(?:{'|'.join((IPV4, SSN, PHONE, CARD, EMAIL))})|(?=[^\d(\s])(?:{LETTERS_FIRST}))"
+_DIGITS, _LETTERS = "|".join((IPV4, SSN, PHONE, CARD)), "|".join((PERSON, KEY, SECRET, IBAN))
+ENTITY = rf"(?<![\p{{L}}\p{{N}}_])(?:(?=[\d+(])(?:{_DIGITS}|{EMAIL})|(?=[^\d(\s])(?:{PERSON}|{EMAIL}|{KEY}|{SECRET}|{IBAN}))"
+#: The same for texts without @: no address can match, and what can starts with few characters.
+ENTITY_NO_AT = rf"(?=[\d+(A-ZГгagpst])(?<![\p{{L}}\p{{N}}_])(?:(?=[\d+(])(?:{_DIGITS})|{_LETTERS})"
 #: Characters that mark found entities while a text is taken apart; texts' own are written as MARK_OWN or ESCAPE_OWN.
 MARK, ESCAPE, MARK_OWN, ESCAPE_OWN = "\x01", "\x02", "\x02\x03", "\x02\x04"
 #: Tries to give colliding entities different replacements.
@@ -144,7 +146,8 @@ def person(e: Column, attempt: Column, key: str) -> Column:
 def taken_apart(text: Column) -> Column:
     """Pieces of a text, at even places what lies between entities, at odd ones the entities: one pass of the pattern."""
     own = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE_OWN)), F.lit(MARK), F.lit(MARK_OWN))
-    return F.split(F.regexp_replace(own, ENTITY, f"{MARK}$0{MARK}"), MARK, -1)
+    marked = lambda pattern: F.regexp_replace(own, pattern, f"{MARK}$0{MARK}")
+    return F.split(F.when(text.contains("@"), marked(ENTITY)).otherwise(marked(ENTITY_NO_AT)), MARK, -1)
 
 
 def put_together(pieces: Column) -> Column:
