@@ -9,6 +9,8 @@
    linked to the same leader are in one component and need no comparison with each other.
 5. Only pairs that are still in different components are looked at: lists sorted by set size are walked in blocks,
    skipping those whose sizes or parity bitmaps rule the threshold out, and what remains is compared exactly.
+   First come the likeliest pairs that would join the components, at most one a member; then, with the components
+   these make, all pairs that are left.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ WORDS = 5
 SKETCH_BITS, BUCKET = 21, 200_000
 #: List members that a task pairs on average; pairs of them looked at together.
 MEMBERS, TOGETHER = 100_000, 1 << 20
+#: Words of bitmaps that are held against each other together.
+WORDS_TOGETHER = 1 << 21
 #: Members of a list from which on its pairs are ruled out by bitmaps of WIDE bits a shingle instead of one.
 LONG, WIDE = 48, 16
 #: Members of a list that are paired with each other in one task; longer lists are dealt out in such blocks.
@@ -200,30 +204,70 @@ def index_lists(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(run, "list long, sig long, n long")
 
 
-def possible(n: np.ndarray, bits: list[bytes], i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which pairs of rows (i, j) the parity bitmaps allow to have Jaccard >= num / den."""
+def likely(n: np.ndarray, bits: list[bytes], i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The most Jaccard that the parity bitmaps allow pairs of rows (i, j), -1 where it is below num / den."""
     width = np.array([len(b) // 8 for b in bits])
     least = np.minimum(width[i], width[j])
-    keep = np.zeros(len(i), bool)
-    for w in np.unique(least):
+    score = np.full(len(i), -1.0)
+    for w in np.unique(least).tolist():
         some = np.flatnonzero(least == w)
         rows = np.unique(np.concatenate([i[some], j[some]]))
         folded = np.empty((len(rows), w), np.uint64)
         for wide in np.unique(width[rows]):
             own = np.flatnonzero(width[rows] == wide)
             folded[own] = fold(np.frombuffer(b"".join(bits[r] for r in rows[own]), np.uint64).reshape(len(own), wide), w)
-        a, b = np.searchsorted(rows, i[some]), np.searchsorted(rows, j[some])
-        differ = np.bitwise_count(folded[a] ^ folded[b]).sum(1, dtype=np.int64)
-        # |x and y| <= (|x| + |y| - differ) / 2
-        total = n[i[some]] + n[j[some]]
-        overlap = (total - differ) // 2
-        keep[some] = den * overlap >= num * (total - overlap)
-    return keep
+        step = max(1, WORDS_TOGETHER // w)
+        for at in range(0, len(some), step):
+            part = some[at : at + step]
+            differ = np.bitwise_count(folded[np.searchsorted(rows, i[part])] ^ folded[np.searchsorted(rows, j[part])]).sum(1, dtype=np.int64)
+            # |x and y| <= (|x| + |y| - differ) / 2
+            total = n[i[part]] + n[j[part]]
+            overlap = (total - differ) // 2
+            score[part] = np.where(den * overlap >= num * (total - overlap), overlap / np.maximum(total - overlap, 1), -1.0)
+    return score
 
 
-def cross_pairs(rows: DataFrame, bits: DataFrame, wide_bits, num: int, den: int) -> DataFrame:
+def spanning(label: np.ndarray, a: np.ndarray, b: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Indexes of edges (a, b) that join different classes, best scores first, without a circle.
+
+    label holds the class of each node and is brought up to date: each round every class takes its best edge.
+    """
+    order = np.argsort(-score, kind="stable")
+    live, chosen = np.arange(len(order)), []
+    while True:
+        x, y = label[a[order[live]]], label[b[order[live]]]
+        apart = x != y
+        live, x, y = live[apart], x[apart], y[apart]
+        if not len(live):
+            return order[np.array(chosen, np.int64)]
+        best = np.full(len(label), len(order))
+        np.minimum.at(best, x, live)
+        np.minimum.at(best, y, live)
+        parent = list(range(len(label)))
+
+        def root(k):
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        for e in np.unique(best[best < len(order)]).tolist():
+            p, q = root(int(label[a[order[e]]])), root(int(label[b[order[e]]]))
+            if p != q:
+                parent[p] = q
+                chosen.append(e)
+        to = np.array(parent)
+        while (to[to] != to).any():
+            to = to[to]
+        label[:] = to[label]
+
+
+def cross_pairs(rows: DataFrame, bits: DataFrame, wide_bits, num: int, den: int, whole: bool) -> DataFrame:
     """(a, b): pairs within a list that lie in different components and whose sizes and bitmaps allow a link.
 
+    If not `whole`, of those that a task sees only a spanning forest of the components, likeliest pairs first: as
+    many rows as a task has members at most. If these turn out to be links, the others need not be looked at.
+
     A list of more than BLOCK members is dealt out in pairs of blocks; shorter ones share tasks. Bitmaps join the
     members last, so that they are shuffled once; wide_bits(sigs) makes those of the members of long lists.
     """
@@ -241,19 +285,24 @@ def cross_pairs(rows: DataFrame, bits: DataFrame, wide_bits, num: int, den: int)
         stop = np.minimum(end, np.searchsorted(group + n, group + np.minimum(n * den // num, int(n.max()) if len(n) else 0), side="right"))
         count = stop - np.arange(len(pdf)) - 1
         bits = pdf["bits"].tolist()
+        comp, name = (np.unique(x, return_inverse=True)[1] for x in (comp, sig))
+        label = np.arange(int(comp.max()) + 1 if len(comp) else 0)
         out, at, sums = [], 0, np.cumsum(count)
         while at < len(pdf):
             till = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + TOGETHER)))
             i = np.repeat(np.arange(at, till), count[at:till])
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count[at:till]) - count[at:till], count[at:till])
-            keep = (comp[i] != comp[j]) & ((lo[i] == hi[i]) | (own[i] != own[j])) & (sig[i] != sig[j])
+            keep = (label[comp[i]] != label[comp[j]]) & ((lo[i] == hi[i]) | (own[i] != own[j]))
             i, j = i[keep], j[keep]
             if len(i):
-                a, b = np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])
-                _, first = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
+                _, first = np.unique(np.minimum(name[i], name[j]) * len(pdf) + np.maximum(name[i], name[j]), return_index=True)
                 i, j = i[first], j[first]
-                good = possible(n, bits, i, j, num, den)
-                out.append(np.stack([sig[i[good]], sig[j[good]]], 1))
+                score = likely(n, bits, i, j, num, den)
+                i, j, score = (x[score >= 0] for x in (i, j, score))
+                if not whole:
+                    picked = spanning(label, comp[i], comp[j], score)
+                    i, j = i[picked], j[picked]
+                out.append(np.stack([sig[i], sig[j]], 1))
             at = till
         got = np.concatenate(out) if out else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": got.min(1), "b": got.max(1)} if len(got) else {"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
@@ -277,7 +326,7 @@ def unlikely_dropped(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> D
         for batch in batches:
             k = batch.num_rows
             n = np.concatenate([batch.column(2).to_numpy(), batch.column(3).to_numpy()])
-            good = possible(n, batch.column(4).to_pylist() + batch.column(5).to_pylist(), np.arange(k), np.arange(k, 2 * k), num, den)
+            good = likely(n, batch.column(4).to_pylist() + batch.column(5).to_pylist(), np.arange(k), np.arange(k, 2 * k), num, den) >= 0
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good)) for i in (0, 1)], names=["a", "b"])
 
     left, right = (bits.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
@@ -356,14 +405,31 @@ def jaccard_classes(docs: DataFrame, num: int = 75, den: int = 100, id_col: str
     links = linked(stored(unlikely_dropped(stars, bits, num, den), f"{path}/likely"), "star")
     labels, used = components(links, "jaccard_star")
 
-    open_ = lists.join(labels.select(F.col("node").alias("sig"), F.col("component").alias("c")), "sig", "left").withColumn("comp", F.coalesce("c", "sig")).drop("c")
-    open_ = stored(open_, f"{path}/open")
-    mixed = open_.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
-    rows = stored(open_.join(mixed, "list"), f"{path}/rows")
-    pairs = cross_pairs(rows, bits.select("sig", "bits"), lambda sigs: read_again(sigs, "long", lambda x: bitmap(x, WIDE), "bits"), num, den).join(stars, ["a", "b"], "left_anti")
-    more = linked(stored(pairs, f"{path}/pairs"), "cross")
-    labels, used2 = components(links.union(more), "jaccard_all")
-    drop(spark, *(f"{path}/{x}" for x in ("lists", "open", "rows", "stars")), *used)
+    wide: list[DataFrame] = []
+
+    def wide_bits(sigs):
+        if not wide:  # later rounds look at some of the same lists
+            wide.append(read_again(sigs, "long", lambda x: bitmap(x, WIDE), "bits"))
+        return wide[0]
+
+    compared_pairs = stars
+    for whole in (False, True):
+        step = "whole" if whole else "forest"
+        open_ = lists.join(labels.select(F.col("node").alias("sig"), F.col("component").alias("c")), "sig", "left").withColumn("comp", F.coalesce("c", "sig")).drop("c")
+        open_ = stored(open_, f"{path}/open_{step}")
+        mixed = open_.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
+        rows = stored(open_.join(mixed, "list"), f"{path}/rows_{step}")
+        pairs = cross_pairs(rows, bits.select("sig", "bits"), wide_bits, num, den, whole).join(compared_pairs, ["a", "b"], "left_anti")
+        pairs = stored(pairs, f"{path}/pairs_{step}")
+        drop(spark, f"{path}/open_{step}", f"{path}/rows_{step}")
+        more = linked(pairs, step)
+        compared_pairs = compared_pairs.union(pairs)
+        if not more.isEmpty():
+            links = links.union(more)
+            labels, old = components(links, f"jaccard_{step}")
+            drop(spark, *used)
+            used = old
+    drop(spark, f"{path}/lists", f"{path}/stars")
 
     placed = sets.join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     # a set without shingles links with nothing, not even with another empty one
