@@ -8,8 +8,8 @@ segments in turn, and a segment seen before costs one dictionary lookup. Ids are
 from __future__ import annotations
 
 import re
-
-import numpy as np
+import sys
+from array import array
 
 #: White space of Python or of the tokenisers besides space and newline; fixed values.
 OTHER_SPACE = "".join(map(chr, [0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -85,6 +85,14 @@ class WordSegments:
         return b"".join(map(self.memo.__getitem__, text.split()))
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian uint16."""
+    packed = array("H", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from U+0100 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -107,8 +115,8 @@ class LibraryEncoder:
         word = self.normalizer.normalize_str(segment) if self.normalizer else segment
         if (word[1:] if word[:1] == " " and not self.normalizer else word).isalpha():
             got = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-            return np.array([t.id for t in got], "<u2").tobytes()
-        return np.array(self.whole.encode(segment, add_special_tokens=False).ids, "<u2").tobytes()
+            return pack_ids([t.id for t in got])
+        return pack_ids(self.whole.encode(segment, add_special_tokens=False).ids)
 
 
 _made: dict = {}
