@@ -7,6 +7,8 @@ Texts farther from every centroid than `reject` allows are marked as rejected.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -75,7 +77,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     """Model of at most `sample` labelled rows a language that aren't held out, those of smallest hashed id.
 
     Reads only text and lang. Each language's share is found from its count, so about 2 * sample rows reach the
-    ranking; what the driver collects are their vectors of FEATURES counts. None if nothing is labelled.
+    ranking; what the driver collects are their vectors of FEATURES counts, deflated. None if nothing is labelled.
     """
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang", F.xxhash64("doc_id", F.lit(7)).alias("h"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -89,13 +91,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
             lang, h, ids = (b.column(i).to_pylist() for i in (1, 2, 3))
             for first, m in vectors([t or "" for t in b.column(0).to_pylist()]):
                 n = len(m)
-                yield pa.RecordBatch.from_arrays([pa.array(lang[first : first + n]), pa.array(h[first : first + n]), pa.array(ids[first : first + n], pa.int64()), pa.array([r.astype(np.float32).tobytes() for r in m], pa.binary())], names=["lang", "h", "doc_id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(lang[first : first + n]), pa.array(h[first : first + n]), pa.array(ids[first : first + n], pa.int64()), pa.array([zlib.compress(r.tobytes(), 1) for r in m], pa.binary())], names=["lang", "h", "doc_id", "v"])
 
     rows = near.select("text", "lang", "h", "doc_id").mapInArrow(counted, "lang string, h long, doc_id long, v binary").collect()
     by: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["doc_id"] is None, r["doc_id"] or 0)):
         if len(own := by.setdefault(r["lang"], [])) < sample:
-            own.append(np.frombuffer(r["v"], np.float32))
+            own.append(np.frombuffer(zlib.decompress(r["v"]), np.float32))
     langs = sorted(by)
     everything = np.concatenate([np.stack(by[x]) for x in langs])
     idf = np.log((1 + len(everything)) / (1 + (everything > 0).sum(0))).astype(np.float32) + 1
