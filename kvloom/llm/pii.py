@@ -3,12 +3,14 @@
 Entities are found by one pattern; each gets a keyed replacement of its own type and format, the same wherever the
 entity occurs. Digits become digits and letters letters of the same case, card numbers keep their check digit's
 validity, addresses stay valid ones, names keep script and the gender of their title. All distinct entities'
-replacements are compared: of those that would share one, or meet a real entity, all but one try again.
+replacements are compared: of those that would share one, or meet a real entity, all but one try again. Where a
+format has too few values for that, characters are added until all are distinct.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,8 @@ PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1
 CARD = r"(?<![.-])\d(?:[ -]?\d){12,18}(?!\w)"
 KEY = r"(?:AKIA|ASIA)[0-9A-Z]{16}\b|gh[pousr]_[A-Za-z0-9]{36}\b|sk-[A-Za-z0-9]{20,64}\b"
 SECRET_NAME = r"(?:[Pp]assw(?:or)?d|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey|PASSWORD|SECRET|TOKEN|API_KEY)[ ]{0,2}[=:][ ]{0,2}[\"']?"
-SECRET = SECRET_NAME + r"[A-Za-z0-9_+/-]{6,128}"
+# a value without any letter or digit is a blank to fill in or a rule
+SECRET = SECRET_NAME + r"(?=[_+/-]*+[A-Za-z0-9])[A-Za-z0-9_+/-]{6,128}"
 IBAN = r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b"
 TITLES = {
     ("m", "latin"): ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don"],
@@ -51,8 +54,8 @@ ENTITY = rf"(?<![\p{{L}}\p{{N}}_])(?:(?=[\d+(])(?:{_DIGITS}|{EMAIL})|(?=[^\d(\s]
 ENTITY_NO_AT = rf"(?=[\d+(A-ZГгagpst])(?<![\p{{L}}\p{{N}}_])(?:(?=[\d+(])(?:{_DIGITS})|{_LETTERS})"
 #: Characters that mark found entities while a text is taken apart; texts' own are written as MARK_OWN or ESCAPE_OWN.
 MARK, ESCAPE, MARK_OWN, ESCAPE_OWN = "\x01", "\x02", "\x02\x03", "\x02\x04"
-#: Tries to give colliding entities different replacements.
-TRIES = 16
+#: Tries within an entity's format before characters are added: of secrets, phones and names, which may have few values; of others.
+FEW, TRIES = 3, 16
 
 
 def bound(value: Column, f) -> Column:
@@ -104,7 +107,13 @@ def surrogate(e: Column, attempt: Column, key: str) -> Column:
         return bound(F.struct(name.alias("name"), F.substring(e, F.length(name) + 1, 1 << 20).alias("value")), lambda v: F.concat(v["name"], bound(digest(key, kind, v["value"], attempt), lambda h: of_kind(v["value"], kind, h))))
 
     def of_kind(x: Column, kind: Column, h: Column) -> Column:
-        return bound(like(x, h), lambda same: shaped(x, kind, h, same))
+        return F.concat(bound(like(x, h), lambda same: shaped(x, kind, h, same)), added(kind, h))
+
+    def added(kind: Column, h: Column) -> Column:
+        """Four more digits with each attempt after those within the format; names grow by themselves."""
+        more = attempt - F.when(kind.isin("secret", "phone"), FEW).otherwise(TRIES)
+        digits = F.array_join(F.transform(F.sequence(F.lit(1), more * 4), lambda i: number(h, 40 - i, 10).cast("string")), "")
+        return F.when((kind != "person") & (more > 0), digits).otherwise("")
 
     def shaped(x: Column, kind: Column, h: Column, same: Column) -> Column:
         rest = lambda head: F.concat(head, same.substr(F.length(head) + 1, F.length(x)))
@@ -125,7 +134,8 @@ def surrogate(e: Column, attempt: Column, key: str) -> Column:
 def person(e: Column, attempt: Column, key: str) -> Column:
     """Title kept; given name of the title's gender and script, surname of syllables, each by its own word alone.
 
-    So "Mr Ann Lee" and "Mr Lee" share their surname's replacement. Later attempts lengthen the surname.
+    So "Mr Ann Lee" and "Mr Lee" share their surname's replacement. Later attempts lengthen the surname; those after
+    FEW make it of the whole name, since given names have few replacements.
     """
     title = F.regexp_extract(e, r"^(\S+ )", 1)
     words = F.split(F.substring(e, F.length(title) + 1, 1 << 20), " ")
@@ -136,7 +146,7 @@ def person(e: Column, attempt: Column, key: str) -> Column:
         script = group[1]
         given, parts = (F.array(*[F.lit(x) for x in xs]) for xs in (GIVEN[group], SYLLABLES[script]))
         first = lambda w: F.element_at(given, (number(digest(key, F.lit("given"), w, F.lit(0)), 0, len(GIVEN[group])) + 1).cast("int"))
-        last = lambda w: F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), attempt + 4), lambda i: F.element_at(parts, (number(digest(key, F.lit("surname"), w, attempt), i, len(SYLLABLES[script])) + 1).cast("int"))), ""))
+        last = lambda w: F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), attempt + 4), lambda i: F.element_at(parts, (number(digest(key, F.lit("surname"), F.when(attempt > FEW, e).otherwise(w), attempt), i, len(SYLLABLES[script])) + 1).cast("int"))), ""))
         return F.when(F.size(words) > 1, F.concat_ws(" ", first(words[0]), last(words[F.size(words) - 1]))).otherwise(last(words[0]))
 
     chosen = reduce(lambda acc, g: acc.when(g[1], made(g[0])), found[1:], F.when(found[0][1], made(found[0][0])))
@@ -161,11 +171,12 @@ def entities(pieces: Column) -> Column:
 def colliding(docs: DataFrame, key: str, path: str) -> DataFrame | None:
     """(entity, attempt) of the entities whose first replacement another one has or that is a real entity; None if there are none.
 
-    Each round compares all entities' replacements; of those that share one the smallest entity keeps it.
+    Each round compares all entities' replacements; of those that share one the smallest entity keeps it. Rounds end
+    when none collide: replacements of later attempts grow, so that soon there are enough of them.
     """
     every = docs.select(F.explode(entities(taken_apart(F.col("text")))).alias("entity")).distinct()
     now = stored(every.select("entity", F.lit(0).alias("attempt"), surrogate(F.col("entity"), F.lit(0), key).alias("new")), f"{path}/try0")
-    for t in range(1, TRIES + 1):
+    for t in count(1):
         shared = now.groupBy("new").agg(F.count("*").alias("n"), F.min("entity").alias("first")).where("n > 1")
         losers = now.join(shared, "new").where("entity <> first").select("entity").union(now.join(now.select(F.col("entity").alias("new")), "new", "left_semi").select("entity")).distinct()
         losers = stored(losers, f"{path}/losers{t}")
@@ -174,7 +185,6 @@ def colliding(docs: DataFrame, key: str, path: str) -> DataFrame | None:
             return None if moved.isEmpty() else moved
         again = now.join(losers, "entity", "left_semi").select("entity", F.lit(t).alias("attempt"), surrogate(F.col("entity"), F.lit(t), key).alias("new"))
         now = stored(now.join(losers, "entity", "left_anti").union(again), f"{path}/try{t}")
-    raise RuntimeError(f"replacements still collide after {TRIES} attempts")
 
 
 def replace_entities(docs: DataFrame, key: str = "kvloom", text_col: str = "text") -> DataFrame:

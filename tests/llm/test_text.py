@@ -124,6 +124,21 @@ def test_colliding_surrogates_are_told_apart(spark, monkeypatch):
     assert len(set(texts)) == 5 and texts[:5] == texts[5:] and all(t.split()[1] == t.split()[3] for t in texts)
 
 
+def replaced(spark, texts):
+    return [r["text"] for r in pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+
+
+def test_formats_with_few_values(spark):
+    blanks = ["Password: ____________", "token = ------"]
+    phones = [f"+150{i:02}" for i in range(100)]
+    secrets = [f"token = -----{i}" for i in range(10)]
+    names = [f"Mr {a}{b}x Smith" for a in "ABCDEFGHIJKLMNOPQRST" for b in "aeiouklmnprstvwz"]
+    out = replaced(spark, [*blanks, *phones, *secrets, *names])
+    assert out[:2] == blanks
+    assert len(set(out)) == len(out) and not set(out[2:]) & {*phones, *secrets, *names}
+    assert all(re.fullmatch(r"\+150\d+", x) for x in out[2:102]) and all(re.fullmatch(r"token = -----\d+", x) for x in out[102:112]) and all(re.fullmatch(r"Mr \w+ \w+", x) for x in out[112:])
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
