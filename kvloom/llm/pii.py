@@ -25,10 +25,10 @@ IPV4 = rf"(?<!\.){OCTET}(?:\.{OCTET}){{3}}(?![\d]|\.\d)"
 SSN = r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"
 CARD = r"(?<![.-])\d(?:[ -]?\d){12,18}(?!\w)"
-KEY = r"(?:AKIA|ASIA)[0-9A-Z]{16}\b|gh[pousr]_[A-Za-z0-9]{36}\b|sk-[A-Za-z0-9]{20,64}\b"
+KEY = r"(?:AKIA|ASIA)[0-9A-Z]{16}\b|gh[pousr]_[A-Za-z0-9]{36}\b|sk-[A-Za-z0-9]{20,}+\b"
 SECRET_NAME = r"(?:[Pp]assw(?:or)?d|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey|PASSWORD|SECRET|TOKEN|API_KEY)[ ]{0,2}[=:][ ]{0,2}[\"']?"
 # a value without any letter or digit is a blank to fill in or a rule
-SECRET = SECRET_NAME + r"(?=[_+/-]*+[A-Za-z0-9])[A-Za-z0-9_+/-]{6,128}"
+SECRET = SECRET_NAME + r"(?=[_+/-]*+[A-Za-z0-9])[A-Za-z0-9_+/-]{6,}+"
 IBAN = r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b"
 TITLES = {
     ("m", "latin"): ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don"],
@@ -46,8 +46,10 @@ SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ha he ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te".split(),
     "cyrillic": "ба бе бо да де до за зо ка ке ко ла ле ло ма ме мо на не но ра ре ро са се со та те то ва ве во".split(),
 }
-NAME = r"\p{Lu}\p{L}*(?:['’-]\p{L}+)*"
-PERSON = rf"(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.? {NAME}(?: {NAME})?"
+NAME = r"\p{Lu}\p{L}*+(?:['’-]\p{L}++)*+"
+_TITLE = rf"(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.? "
+# all names up to the next title
+PERSON = rf"{_TITLE}{NAME}(?: (?!{_TITLE}\p{{Lu}}){NAME})*+"
 _DIGITS, _LETTERS = "|".join((IPV4, SSN, PHONE, CARD)), "|".join((PERSON, KEY, SECRET, IBAN))
 ENTITY = rf"(?<![\p{{L}}\p{{N}}_])(?:(?=[\d+(])(?:{_DIGITS}|{EMAIL})|(?=[^\d(\s])(?:{PERSON}|{EMAIL}|{KEY}|{SECRET}|{IBAN}))"
 #: The same for texts without @: no address can match, and what can starts with few characters.
@@ -132,7 +134,7 @@ def surrogate(e: Column, attempt: Column, key: str) -> Column:
 
 
 def person(e: Column, attempt: Column, key: str) -> Column:
-    """Title kept; given name of the title's gender and script, surname of syllables, each by its own word alone.
+    """Title kept; given names of the title's gender and script, the last name of syllables, each by its own word alone.
 
     So "Mr Ann Lee" and "Mr Lee" share their surname's replacement. Later attempts lengthen the surname; those after
     FEW make it of the whole name, since given names have few replacements.
@@ -147,7 +149,7 @@ def person(e: Column, attempt: Column, key: str) -> Column:
         given, parts = (F.array(*[F.lit(x) for x in xs]) for xs in (GIVEN[group], SYLLABLES[script]))
         first = lambda w: F.element_at(given, (number(digest(key, F.lit("given"), w, F.lit(0)), 0, len(GIVEN[group])) + 1).cast("int"))
         last = lambda w: F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), attempt + 4), lambda i: F.element_at(parts, (number(digest(key, F.lit("surname"), F.when(attempt > FEW, e).otherwise(w), attempt), i, len(SYLLABLES[script])) + 1).cast("int"))), ""))
-        return F.when(F.size(words) > 1, F.concat_ws(" ", first(words[0]), last(words[F.size(words) - 1]))).otherwise(last(words[0]))
+        return F.concat_ws(" ", F.transform(F.slice(words, 1, F.size(words) - 1), first), last(F.element_at(words, -1)))
 
     chosen = reduce(lambda acc, g: acc.when(g[1], made(g[0])), found[1:], F.when(found[0][1], made(found[0][0])))
     return F.concat(title, F.coalesce(chosen, made(("f", "latin"))))

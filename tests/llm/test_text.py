@@ -139,6 +139,16 @@ def test_formats_with_few_values(spark):
     assert all(re.fullmatch(r"\+150\d+", x) for x in out[2:102]) and all(re.fullmatch(r"token = -----\d+", x) for x in out[102:112]) and all(re.fullmatch(r"Mr \w+ \w+", x) for x in out[112:])
 
 
+def test_long_entities_are_replaced_whole(spark):
+    token, key = "Zq7" * 100, "Wx9k" * 25
+    out = replaced(spark, [f"token={token} end", f"use sk-{key} now", "Mr. John Michael Smith met Ms Ann Mary Jane Lee.", "Mr. Jim Smith Mrs Eve Smith"])
+    assert re.fullmatch(r"token=([A-Z][a-z]\d){100} end", out[0]) and re.fullmatch(r"use sk-([A-Z][a-z]\d[a-z]){25} now", out[1])
+    assert not re.search("(Zq7){3}|(Wx9k){3}|Michael|Smith|Jane|Lee", " ".join(out))
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) (\w+) met Ms (\w+) (\w+) (\w+) (\w+)\.", out[2])
+    assert m and {m[1], m[2]} <= set(pii.GIVEN["m", "latin"]) and {m[4], m[5], m[6]} <= set(pii.GIVEN["f", "latin"])
+    assert re.fullmatch(rf"Mr\. \w+ {m[3]} Mrs \w+ {m[3]}", out[3])
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
