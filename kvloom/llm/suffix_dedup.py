@@ -54,21 +54,12 @@ def anchors(texts: list[bytes], least: int = LEAST, k: int = K):
         starts = np.cumsum(np.append(0, sizes))
         n = len(buf) - k + 1
         h = span_hash(total, down, np.arange(n), np.arange(k, n + k))
-        # leftmost smallest of each window: the hash's upper bits, then the place
-        key = (h & ~_POS) | (np.arange(n, dtype=np.uint64) & _POS)
         m = len(buf) - least + 1
-        pad = -(-n // width) * width
-        grid = np.full(pad + width, ~np.uint64(0))
-        grid[:n] = key
-        grid = grid.reshape(-1, width)
-        left = np.minimum.accumulate(grid, axis=1).ravel()
-        right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        low = np.minimum(right[:m], left[width - 1 : width - 1 + m])
         inside = np.zeros(len(buf) + 1, bool)
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
             if b - a >= least:
                 inside[a : b - least + 1] = True
-        at = np.unique((low & _POS)[inside[:m]]).astype(np.int64) if len(buf) <= int(_POS) else _long_anchors(low, inside[:m], key, width)
+        at = _smallest(h, inside[:m], width)
         doc = np.searchsorted(starts, at, side="right") - 1
         lo = np.maximum(starts[doc], at - (least - k))
         hi = np.minimum(starts[doc + 1], at + least)
@@ -76,12 +67,25 @@ def anchors(texts: list[bytes], least: int = LEAST, k: int = K):
         yield first + doc, at - starts[doc], h[at], context, at - lo, hi - at
 
 
-def _long_anchors(low, inside, key, width):
-    """Places of the smallest keys where a text is longer than the place bits: equal keys are found by position again."""
-    hit = np.zeros(len(key), bool)
-    for p in np.flatnonzero(inside & np.append(True, low[1:] != low[:-1])[: len(inside)]).tolist():
-        hit[p + int(np.argmin(key[p : p + width]))] = True
-    return np.flatnonzero(hit)
+def _smallest(h: np.ndarray, inside: np.ndarray, width: int) -> np.ndarray:
+    """Places of the leftmost smallest hash, by its upper bits, of each window of `width` places that starts inside.
+
+    Windows are looked at in slices whose places fit the place bits, so a run of any length gives the same.
+    """
+    found = []
+    step = int(_POS) + 1 - width
+    for first in range(0, len(inside), step):
+        wanted = inside[first : first + step]
+        m = len(wanted)
+        n = m + width - 1
+        grid = np.full(-(-n // width) * width + width, ~np.uint64(0))
+        grid[:n] = (h[first : first + n] & ~_POS) | np.arange(n, dtype=np.uint64)
+        grid = grid.reshape(-1, width)
+        left = np.minimum.accumulate(grid, axis=1).ravel()
+        right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+        low = np.minimum(right[:m], left[width - 1 : width - 1 + m])
+        found.append(first + np.unique((low & _POS)[wanted]).astype(np.int64))
+    return np.unique(np.concatenate(found))
 
 
 def anchor_table(docs: DataFrame, least: int, k: int) -> DataFrame:

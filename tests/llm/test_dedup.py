@@ -77,6 +77,24 @@ def test_passages(spark, odd, most):
     assert sorted(((r["doc_id"] is None, r["doc_id"] or 0), *tuple(r)[1:5]) for r in out) == brute_passages([(a, (b or "").encode()) for a, b in rows], 40)
 
 
+@pytest.mark.parametrize("bits", [24, 9])
+def test_anchors_against_brute_force(monkeypatch, bits):
+    pos = np.uint64((1 << bits) - 1)
+    monkeypatch.setattr(suffix_dedup, "_POS", pos)
+    rnd = random.Random(11)
+    for _ in range(20):
+        texts = ["".join(rnd.choice("ab ") for _ in range(rnd.choice([0, 30, 40, 41, 300, 700, 1500]))).encode() for _ in range(6)] + [b"a" * 600]
+        want = set()
+        for d, t in enumerate(texts):
+            if len(t) >= 40:
+                total, down = suffix_dedup.prefix_hashes(np.frombuffer(t, np.uint8))
+                n = len(t) - 15
+                h = (suffix_dedup.span_hash(total, down, np.arange(n), np.arange(16, n + 16)) & ~pos).tolist()
+                want |= {(d, min(range(i, i + 25), key=lambda p: (h[p], p))) for i in range(len(t) - 39)}
+        got = [(int(d), int(p)) for run in suffix_dedup.anchors(texts, 40, 16) for d, p in zip(run[0], run[1])]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_passages_of_nothing(nothing):
     assert suffix_dedup.repeated_passages(nothing).collect() == []
 
