@@ -2,7 +2,10 @@
 
 A text is the normalised TF-IDF vector of its hashed character n-grams. Each language has several centroids, found
 by clustering its vectors in a bounded labelled sample; a text gets the language of the nearest one by cosine.
-Texts farther from every centroid than `reject` allows are marked as rejected.
+A text is rejected if no language is likely: the mean over its n-grams of log(their share in the language's learnt
+rows / an even share) is below `reject` times what nearly all learnt rows of that language reach. Unlike the cosine,
+which fills up as a text gets longer, that mean doesn't depend on length; it only varies more in short texts, which
+are allowed its standard error.
 """
 
 from __future__ import annotations
@@ -18,8 +21,8 @@ from kvloom.llm.common import blocks
 
 #: Features, n-gram lengths, labelled rows of each language that are learnt from at most, centroids a language.
 FEATURES, GRAMS, SAMPLE, CENTROIDS = 4096, (1, 2, 3, 4), 600, 4
-#: A text is rejected if its cosine is below this part of the lowest of its language's own learnt rows.
-REJECT = 0.25
+#: A text is rejected if its mean log ratio is below this part of the LOW quantile of the learnt rows', in each language.
+REJECT, LOW = 0.25, 0.01
 _KEPT = np.full(256, 32, np.uint8)
 _KEPT[97:123] = np.arange(97, 123)
 _KEPT[128:] = np.arange(128, 256)
@@ -52,6 +55,19 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def mean_ratios(counts: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """Mean log ratio of each text's n-grams, in each language if ratios has a row for each."""
+    total = np.maximum(counts.sum(1), 1)
+    return ((counts @ ratios.T).T / total).T
+
+
+def unlikely(counts: np.ndarray, model: dict, reject: float) -> np.ndarray:
+    """Whether each text's mean log ratio is too low in every language."""
+    # the n-grams of all lengths that start at one place count as one draw
+    places = np.maximum(counts.sum(1, keepdims=True) / len(GRAMS), 1)
+    return (mean_ratios(counts, model["ratios"]) < reject * model["floor"] - model["spread"] / np.sqrt(places)).all(1)
+
+
 def clustered(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Unit centroids of unit rows by spherical k-means; starts: the mean row, then always the farthest one."""
     picked = [int(np.argmax(x @ x.mean(0)))]
@@ -101,14 +117,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     langs = sorted(by)
     everything = np.concatenate([np.stack(by[x]) for x in langs])
     idf = np.log((1 + len(everything)) / (1 + (everything > 0).sum(0))).astype(np.float32) + 1
-    centroids, owner, floor = [], [], []
+    centroids, owner, ratios, floor, spread = [], [], [], [], []
     for k, lang in enumerate(langs):
         x = unit(np.log1p(np.stack(by[lang]).astype(np.float64)) * idf)
         c = clustered(x, CENTROIDS)
         centroids.append(c)
         owner += [k] * len(c)
-        floor.append(float((x @ c.T).max(1).min()))
-    return {"langs": langs, "idf": idf, "centroids": np.concatenate(centroids).astype(np.float32), "owner": np.array(owner), "floor": np.array(floor)}
+        counts = np.stack(by[lang]).astype(np.float64)
+        ratios.append(np.log((counts.sum(0) + 0.5) / (counts.sum() / FEATURES + 0.5)).astype(np.float32))
+        floor.append(float(np.quantile(mean_ratios(counts, ratios[-1]), LOW)))
+        spread.append(float(np.sqrt(np.cov(ratios[-1], aweights=counts.sum(0), ddof=0))))
+    return {"langs": langs, "idf": idf, "centroids": np.concatenate(centroids).astype(np.float32), "owner": np.array(owner), "ratios": np.stack(ratios), "floor": np.array(floor), "spread": np.array(spread)}
 
 
 def identify(docs: DataFrame, model: dict | None, reject: float = REJECT) -> DataFrame:
@@ -132,10 +151,11 @@ def identify(docs: DataFrame, model: dict | None, reject: float = REJECT) -> Dat
                 for first, counts in vectors([texts[i] for i in some]):
                     cos = unit(np.log1p(counts) * m["idf"]) @ m["centroids"].T
                     best = cos.argmax(1)
+                    far = unlikely(counts, m, reject)
                     for j, b in enumerate(best.tolist()):
                         i, k = some[first + j], m["owner"][b]
                         pred[i], score[i] = m["langs"][k], float(min(1.0, max(0.0, cos[j, b])))
-                        rejected[i] = bool(cos[j, b] < reject * m["floor"][k])
+                        rejected[i] = bool(far[j])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred), pa.array(score, pa.float64()), pa.array(rejected)], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
 
     from pyspark.sql.types import StructType
