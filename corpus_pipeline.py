@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import scratch, small, stored
+from kvloom.llm.common import numbered, scratch, small, stored
 from kvloom.llm.exact_dedup import exact_dedup
 from kvloom.llm.jaccard_join import jaccard_classes
 from kvloom.llm.language_id import fit, identify
@@ -13,10 +13,18 @@ from kvloom.llm.packing import pack
 from kvloom.llm.pii import replace_entities
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id isn't among ids; texts move only if there are too many ids to send to every task."""
+def _without(docs: DataFrame, find) -> DataFrame:
+    """Rows of docs but those that find, given (doc_id, text), names by doc_id.
+
+    Where ids are null or repeated find gets keys of the rows instead, in the order of the ids. Texts move only then
+    and if there are too many ids to send to every task.
+    """
     path = scratch(docs.sparkSession, "pipeline_ids")
-    return docs.join(small(stored(ids.select("doc_id").where("doc_id is not null").distinct(), path)), "doc_id", "left_anti").select(docs.columns)
+    rows = numbered(docs, "doc_id", "_row", f"{path}/rows")
+    key = "doc_id" if rows is None else "_row"
+    rows = docs if rows is None else rows
+    ids = find(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key))
+    return rows.join(small(stored(ids, f"{path}/ids")), key, "left_anti").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,15 +34,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal normalised texts the one of smallest doc_id."""
-    found = exact_dedup(docs.select("doc_id", "text"))
-    return _without(docs, found.where("not kept and doc_id <> keep_id").select("doc_id"))
+    """Of rows with equal normalised texts one of smallest doc_id; those without id come last."""
+    return _without(docs, lambda rows: exact_dedup(rows).where("not kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents linked by 5-word shingles at Jaccard 0.75 the one of smallest doc_id."""
-    found = jaccard_classes(docs.select("doc_id", "text"), 75, 100)
-    return _without(docs, found.where("doc_id <> component_id").select("doc_id"))
+    """Of each class of rows linked by 5-word shingles at Jaccard 0.75 one of smallest doc_id; those without id come last."""
+    return _without(docs, lambda rows: jaccard_classes(rows, 75, 100).where("doc_id <> component_id"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

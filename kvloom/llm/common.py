@@ -17,6 +17,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def numbered(docs: DataFrame, id_col: str, name: str, path: str) -> DataFrame | None:
+    """docs with a key `name` of each row if ids are null or repeated, written to `path`; None if ids are such keys.
+
+    Keys are in the order of the ids, nulls last, so the smallest key has the smallest id. Hashed texts part rows of one
+    id, so that no task gets all rows without id.
+    """
+    if docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).isEmpty():
+        return None
+    return stored(docs.orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64("text")).withColumn(name, F.monotonically_increasing_id()), path)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 on uint64 arrays (wraps around)."""
     x = x ^ (x >> np.uint64(30))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import Powers, blocks, components, drop, mix64, scratch, small, stored, texts_of
+from kvloom.llm.common import Powers, blocks, components, drop, mix64, numbered, scratch, small, stored, texts_of
 
 WORDS = 5
 #: Log2 of the counters of the frequency sketch; prefix shingles a bucket of the index holds on average.
@@ -364,9 +364,20 @@ def jaccard_classes(docs: DataFrame, num: int = 75, den: int = 100, id_col: str
     rows are copies of each other; other columns are ignored; an empty table gives no rows.
     Links between copies are implied: the join runs over distinct sets.
     """
-    spark = docs.sparkSession
-    path = scratch(spark, "jaccard")
+    path = scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = numbered(docs, "doc_id", "row", f"{path}/rows")
+    if rows is None:
+        return _classes(docs, num, den, path)
+    found = _classes(rows.select(F.col("row").alias("doc_id"), "text"), num, den, path)
+    ids = rows.select("row", "doc_id")
+    found = found.withColumnsRenamed({"doc_id": "row", "component_id": "least"}).join(ids, "row")
+    return found.join(ids.select(F.col("row").alias("least"), F.col("doc_id").alias("component_id")), "least").select("doc_id", "n_shingles", "component_id")
+
+
+def _classes(docs: DataFrame, num: int, den: int, path: str) -> DataFrame:
+    """jaccard_classes of (doc_id, text) where each row has an id of its own: texts are read again by it."""
+    spark = docs.sparkSession
     for seed in range(8):
         first = stored(first_pass(docs, seed), f"{path}/first{seed}")
         per_doc = first.where("slice is null").select("doc_id", "n", "sig", "sig2", "bits")
@@ -378,8 +389,6 @@ def jaccard_classes(docs: DataFrame, num: int = 75, den: int = 100, id_col: str
     buckets = max(8, int(size * (den - num) / den / BUCKET) + 1)
     lists = stored(index_lists(prefixes(docs.select("doc_id", "text"), seed, sketch, buckets, num, den)).dropDuplicates(["list", "sig"]), f"{path}/lists")
 
-    repeats = docs_repeat(docs)
-
     def read_again(sigs, name, make, column):
         """(sig, column) of the documents of some nodes, made anew from their texts; other texts don't move."""
         members = small(stored(sigs.join(sets.select("sig", "doc_id"), "sig"), f"{path}/members_{name}"))
@@ -389,7 +398,7 @@ def jaccard_classes(docs: DataFrame, num: int = 75, den: int = 100, id_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make(x) for x in shingle_sets(texts_of(batch), seed)], pa.binary())], names=["sig", column])
 
         made = docs.join(members, "doc_id").select("sig", "text").mapInArrow(run, f"sig long, {column} binary")
-        return stored(made.dropDuplicates(["sig"]) if repeats else made, f"{path}/{column}_{name}")
+        return stored(made, f"{path}/{column}_{name}")
 
     def linked(pairs, name):
         """Pairs that are links: only the texts of documents in pairs that the bitmaps allow are read again."""
@@ -436,8 +445,3 @@ def jaccard_classes(docs: DataFrame, num: int = 75, den: int = 100, id_col: str
     smallest = placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_sig = placed.where("n > 0").join(smallest, "component").select("sig", "component_id")
     return per_doc.join(by_sig, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def docs_repeat(docs: DataFrame) -> bool:
-    """Whether an id occurs twice, so that one member would be read twice."""
-    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()

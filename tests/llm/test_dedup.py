@@ -168,6 +168,23 @@ def test_classes(spark, odd, monkeypatch, block):
     assert sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["n_shingles"], r["component_id"]) for r in out) == brute_classes(rows)
 
 
+def test_null_and_repeated_ids(spark):
+    rnd = random.Random(8)
+    vocab = [f"w{i}" for i in range(500)]
+    base = [[rnd.choice(vocab) for _ in range(60)] for _ in range(4)]
+    text = lambda k, *at: " ".join("x" if i in at else w for i, w in enumerate(base[k]))
+    # near copies without id; an id with two texts of which both have near copies; a unique text that shares a dropped row's id
+    rows = [(1, text(0)), (None, text(0, 3)), (None, text(0, 3, 57)), (7, text(1)), (7, text(2)), (8, text(1, 2)), (9, text(2, 2)), (8, text(3)), (7, text(1)), (None, text(3)), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = jaccard_join.jaccard_classes(df).collect()
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["n_shingles"], r["component_id"]) for r in out) == brute_classes(rows)
+    pipeline = pytest.importorskip("corpus_pipeline")
+    told = lambda d: sorted(((r["doc_id"] or -1), r["text"] or "") for r in d.collect())
+    once = pipeline.exact(spark, df, "")
+    assert told(once) == sorted((i or -1, t or "") for i, t in rows[:8] + rows[10:])
+    assert told(pipeline.near(spark, df, "")) == sorted((i or -1, t or "") for i, t in [rows[0], rows[3], rows[4], rows[7], rows[10]])
+
+
 def test_classes_of_nothing(nothing):
     assert jaccard_join.jaccard_classes(nothing).collect() == []
 
