@@ -159,13 +159,65 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("block", [1024, 4])
-def test_classes(spark, odd, monkeypatch, block):
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+def told_classes(df):
+    return sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_classes(df).collect())
+
+
+@pytest.mark.parametrize("block, few, stars", [(512, 32, 2), (4, 1, 2), (2, 0, 0), (3, 2, 1)])
+def test_classes(spark, odd, monkeypatch, block, few, stars):
+    for name, value in (("BLOCK", block), ("FEW", few), ("STARS", stars)):
+        monkeypatch.setattr(jaccard_join, name, value)
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()] + near_rows()
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = jaccard_join.jaccard_classes(df).collect()
-    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["n_shingles"], r["component_id"]) for r in out) == brute_classes(rows)
+    assert told_classes(spark.createDataFrame(rows, "doc_id long, text string")) == brute_classes(rows)
+
+
+@pytest.mark.parametrize("levels", [0, 1, 3])
+def test_small_sets_in_refined_lists(spark, monkeypatch, levels):
+    for name, value in (("BLOCK", 2), ("FEW", 0), ("STARS", 0), ("LEVELS", levels), ("TOGETHER", 7)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rnd = random.Random(17)
+    vocab = [f"v{i}" for i in range(3)]
+    rows = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(1, 14)))) for i in range(150)]
+    assert told_classes(spark.createDataFrame(rows, "doc_id long, text string")) == brute_classes(rows)
+
+
+def test_words_on_which_polynomial_hashes_collide(spark):
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rows = [(1, morse), (2, morse.translate(str.maketrans("ab", "ba"))), (3, f"{morse} x y z w"), (4, f"{morse} x y z w v")]
+    assert told_classes(spark.createDataFrame(rows, "doc_id long, text string")) == brute_classes(rows)
+
+
+def test_long_texts_are_cut_at_white_space():
+    text = b"  ".join(b"w%d" % (i * i) for i in range(500))
+    one = np.concatenate([jaccard_join.hashed_words([p], 0)[0] for p in jaccard_join.pieces(text, 50)])
+    assert (one == jaccard_join.hashed_words([text], 0)[0]).all() and len(list(jaccard_join.pieces(text, 50))) > 20
+
+
+def test_skipping_and_derived_answers_lose_no_link():
+    rnd = random.Random(2)
+    for _ in range(300):
+        lead = set(rnd.sample(range(60), 30))
+        sets = [frozenset(rnd.sample(sorted(lead), rnd.randrange(10, 30))) | frozenset(rnd.sample(range(60), rnd.randrange(1, 20))) for _ in range(6)]
+        token = rnd.randrange(60)
+        some = [s for s in sets if token in s]
+        n = np.array([len(s) for s in some])
+        # what lies before the token is taken not to be shared
+        pos = np.array([sum(x < token for x in s) for s in some])
+        order = np.lexsort((pos, n))
+        n, pos, some = n[order], pos[order], [some[i] for i in order]
+        got = {(int(i), int(j)) for a, b in jaccard_join.feasible_pairs(np.zeros(len(n), int), n, pos, np.ones(len(n), int), 75, 100) for i, j in zip(a, b)}
+        for j in range(len(some)):
+            for i in range(j):
+                after = len({x for x in some[i] & some[j] if x >= token})
+                if 175 * after >= 75 * (n[i] + n[j]):
+                    assert (i, j) in got
+        shared = np.array([len(s & lead) if rnd.random() < 0.8 else -1 for s in some])
+        if len(some) > 1:
+            i, j = (np.array(x) for x in zip(*[(i, j) for j in range(len(some)) for i in range(j)]))
+            possible, proven = jaccard_join.derived(n, [shared], [np.full(len(n), len(lead))], i, j, 75, 100)
+            for k, (x, y) in enumerate(zip(i, j)):
+                link = 175 * len(some[x] & some[y]) >= 75 * (n[x] + n[y])
+                assert (possible[k] or not link) and (link or not proven[k])
 
 
 def test_null_and_repeated_ids(spark):
