@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import numbered, scratch, small, stored
+from kvloom.llm.common import free_name, numbered, scratch, small, stored
 from kvloom.llm.exact_dedup import exact_dedup
 from kvloom.llm.jaccard_join import jaccard_classes
 from kvloom.llm.language_id import fit, identify
@@ -16,41 +16,61 @@ from kvloom.llm.pii import replace_entities
 def _without(docs: DataFrame, find) -> DataFrame:
     """Rows of docs but those that find, given (doc_id, text), names by doc_id.
 
-    Where ids are null or repeated find gets keys of the rows instead, in the order of the ids. Texts move only then
-    and if there are too many ids to send to every task.
+    Where ids are null or repeated find gets keys of the rows instead, in the order of the ids, so a row never goes
+    because another one has its id. Texts move only then and if there are too many ids to send to every task.
     """
-    path = scratch(docs.sparkSession, "pipeline_ids")
-    rows = numbered(docs, "doc_id", "_row", f"{path}/rows")
-    key = "doc_id" if rows is None else "_row"
+    path, key = scratch(docs.sparkSession, "pipeline_ids"), free_name(docs, "row_key")
+    rows = numbered(docs, "doc_id", key, f"{path}/rows")
+    own = "doc_id" if rows is None else key
     rows = docs if rows is None else rows
-    ids = find(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key))
-    return rows.join(small(stored(ids, f"{path}/ids")), key, "left_anti").select(docs.columns)
+    ids = find(rows.select(F.col(own).alias("doc_id"), "text")).select(F.col("doc_id").alias(own))
+    return rows.join(small(stored(ids, f"{path}/ids")), own, "left_anti").select(docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language identification doesn't reject; learnt from the labelled rows of docs itself."""
+    """Documents that language identification doesn't reject; learnt from the labelled rows of docs itself.
+
+    Rows whose text is null or holds no letter go, as do all rows if none is labelled. Null and repeated ids stay as
+    they are (a null id is never held out); columns named as the identification's own keep the caller's values.
+    """
     model = fit(docs.select("doc_id", "text", "lang"))
-    return identify(docs, model).where(~F.col("rejected")).select(docs.columns)
+    told = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+    return identify(told, model).where(~F.col("rejected")).select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows with equal normalised texts one of smallest doc_id; those without id come last."""
+    """Of rows with equal normalised texts one of smallest doc_id; those without id come last.
+
+    Null and empty texts are equal. Rows with one id and different texts are rows of their own; other columns are
+    kept as they are; an empty table gives no rows.
+    """
     return _without(docs, lambda rows: exact_dedup(rows).where("not kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of rows linked by 5-word shingles at Jaccard 0.75 one of smallest doc_id; those without id come last."""
+    """Of each class of rows linked by 5-word shingles at Jaccard 0.75 one of smallest doc_id; those without id come last.
+
+    Rows without words link with nothing and stay. Rows with one id and different texts are rows of their own; other
+    columns are kept as they are; an empty table gives no rows.
+    """
     return _without(docs, lambda rows: jaccard_classes(rows, 75, 100).where("doc_id <> component_id"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by surrogates; n_chars follows the text."""
-    replaced = replace_entities(docs)
-    return replaced.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Personal data replaced by surrogates; n_chars follows the text.
+
+    Every row stays: null and empty texts, null and repeated ids and other columns are kept as they are.
+    """
+    before, n = free_name(docs, "text_before"), F.length("text").cast(docs.schema["n_chars"].dataType)
+    replaced = replace_entities(docs.withColumn(before, F.col("text")), count_col=None)
+    return replaced.withColumn("n_chars", F.when(F.col("text").eqNullSafe(F.col(before)), F.col("n_chars")).otherwise(n)).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens."""
+    """Pieces of all documents in sequences of at most 2048 tokens.
+
+    A null or empty text is its end id alone; null ids stay null and repeated rows are documents of their own.
+    """
     import public_tokenizers
 
     return pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=1)
