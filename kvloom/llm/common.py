@@ -17,6 +17,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(docs: DataFrame, id_col: str, name: str, path: str) -> DataFrame | None:
     """docs with a key `name` of each row if ids are null or repeated, written to `path`; None if ids are such keys.
 
@@ -64,6 +72,29 @@ def blocks(texts, most: int = 1 << 20):
         yield start, texts[start:]
 
 
+def parts(batches, rows: int = 1024):
+    """Batches in parts of at most `rows` rows, so that not all their texts are unpacked at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+_made: dict = {}
+
+
+def once(key, make):
+    """make() once in this Python worker: what it makes serves all its tasks until another operator's takes its place."""
+    if key not in _made:
+        _made.clear()
+        _made[key] = make()
+    return _made[key]
+
+
+def forget() -> None:
+    """Let go of what other operators keep in this Python worker."""
+    _made.clear()
+
+
 def texts_of(batch, name: str = "text") -> list[bytes]:
     """A string column of an Arrow batch as UTF-8 bytes, null as empty."""
     import pyarrow as pa

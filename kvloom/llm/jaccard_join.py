@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import blocks, components, drop, mix64, numbered, scratch, small, stored, texts_of
+from kvloom.llm.common import blocks, components, drop, forget, mix64, numbered, parts, scratch, small, stored, texts_of
 
 WORDS = 5
 #: Log2 of the counters of the frequency sketch; prefix shingles a bucket of the index holds on average.
@@ -130,10 +130,11 @@ def first_pass(docs: DataFrame, seed: int) -> DataFrame:
     schema = "doc_id long, n long, sig long, sig2 long, bits binary, slice int, counts binary"
 
     def run(batches):
+        forget()
         sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
         names = [x.split()[0] for x in schema.split(", ")]
-        for batch in batches:
+        for batch in parts(batches):
             n, sig, sig2, bits = [], [], [], []
             for one in shingle_sets(texts_of(batch), seed):
                 at = one & np.uint64(len(sketch) - 1)
@@ -196,8 +197,9 @@ def prefixes(docs: DataFrame, seed: int, classes, buckets: int, num: int, den: i
             cuts = [order[a:b] for a, b in zip([0, *ends[:-1]], ends)]
             return pa.RecordBatch.from_arrays([pa.array([int(to[c[0]]) for c in cuts], pa.int32()), *(pa.array([x[c].tobytes() for c in cuts], pa.binary()) for x in (tok, sig, size, place))], names=names)
 
+        forget()
         held, seen, many = [], set(), 0
-        for batch in batches:
+        for batch in parts(batches):
             for one in shingle_sets(texts_of(batch), seed):
                 if not (n := len(one)) or (sig := signature(one)) in seen:
                     continue
@@ -538,7 +540,7 @@ def _classes(docs: DataFrame, num: int, den: int, path: str) -> DataFrame:
         members = small(stored(sigs.join(sets.select("sig", "doc_id"), "sig"), f"{path}/members_{name}"))
 
         def run(batches):
-            for batch in batches:
+            for batch in parts(batches):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(texts_of(batch), seed)], pa.binary())], names=["sig", "shingles"])
 
         return stored(docs.join(members, "doc_id").select("sig", "text").mapInArrow(run, "sig long, shingles binary"), f"{path}/shingles_{name}")
@@ -551,11 +553,11 @@ def _classes(docs: DataFrame, num: int, den: int, path: str) -> DataFrame:
 
     # leaders of each list, and of each member's leaders the likeliest ones
     other = F.xxhash64("sig")
-    leaders = lists.groupBy("list").agg(F.min(F.struct("sig", "n")).alias("l0"), F.min(F.struct(other.alias("h"), "sig", "n")).alias("l1"))
-    leaders = stored(leaders.select("list", F.col("l0.sig").alias("s0"), F.col("l0.n").alias("m0"), F.col("l1.sig").alias("s1"), F.col("l1.n").alias("m1")), f"{path}/leaders")
-    led = lists.join(leaders, "list")
-    star = lambda k: led.select(F.col(f"s{k}").alias("leader"), "sig", F.col(f"m{k}").alias("m"), "n")
-    stars = star(0).union(star(1)).where(f"leader <> sig and {num} * greatest(m, n) <= {den} * least(m, n)")
+    leaders = lists.groupBy("list").agg(F.min(F.struct("sig", "n", "pos")).alias("l0"), F.min(F.struct(other.alias("h"), "sig", "n", "pos")).alias("l1"))
+    leaders = stored(leaders.select("list", *(F.col(f"l{k}.{c}").alias(f"{d}{k}") for k in (0, 1) for c, d in (("sig", "s"), ("n", "m"), ("pos", "p")))), f"{path}/leaders")
+    led = F.explode(F.array(*(F.struct(F.col(f"s{k}").alias("leader"), F.col(f"m{k}").alias("m"), F.col(f"p{k}").alias("at")) for k in (0, 1))))
+    stars = lists.join(leaders, "list").select("sig", "n", "pos", led.alias("l")).select("l.*", "sig", "n", "pos")
+    stars = stars.where(f"leader <> sig and {num + den} * (1 + least(n - 1 - pos, m - 1 - at)) >= {num} * (n + m)")
     stars = stored(scored(stars.select(F.col("leader").alias("a"), F.col("sig").alias("b")).distinct(), bits, num, den), f"{path}/stars")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "a"))), 1, STARS)
     picked = stars.groupBy("b").agg(best.alias("best")).select(F.explode("best.a").alias("a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -571,7 +573,7 @@ def _classes(docs: DataFrame, num: int, den: int, path: str) -> DataFrame:
     now = open_rows(lists.withColumn("depth", F.lit(1).cast("long")), "lists")
     drop(spark, f"{path}/placed_lists")
     both = known.select(F.col("a").alias("leader"), F.col("b").alias("sig"), "shared").union(known.select("b", "a", "shared"))
-    now = now.join(leaders, "list")
+    now = now.join(leaders.drop("p0", "p1"), "list")
     for k in (0, 1):
         now = now.join(both.withColumnsRenamed({"leader": f"s{k}", "shared": f"o{k}"}), [f"s{k}", "sig"], "left").withColumn(f"o{k}", F.when(F.col(f"s{k}") == F.col("sig"), F.col("n")).otherwise(F.coalesce(f"o{k}", F.lit(-1))))
     now = stored(now.drop("s0", "s1"), f"{path}/level0")

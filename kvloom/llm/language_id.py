@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import blocks
+from kvloom.llm.common import blocks, forget, parts
 
 #: Features, n-gram lengths, labelled rows of each language that are learnt from at most, centroids a language.
 FEATURES, GRAMS, SAMPLE, CENTROIDS = 4096, (1, 2, 3, 4), 600, 4
@@ -103,7 +103,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     near = known.where((F.pmod("h", F.lit(1 << 20)) / float(1 << 20)) <= part[F.col("lang")])
 
     def counted(batches):
-        for b in batches:
+        forget()
+        for b in parts(batches):
             lang, h, ids = (b.column(i).to_pylist() for i in (1, 2, 3))
             for first, m in vectors([t or "" for t in b.column(0).to_pylist()]):
                 n = len(m)
@@ -143,7 +144,8 @@ def identify(docs: DataFrame, model: dict | None, reject: float = REJECT) -> Dat
 
     def run(batches):
         m = known.value
-        for batch in batches:
+        forget()
+        for batch in parts(batches):
             texts = batch.column(at).to_pylist()
             pred, score, rejected = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
             if m:

@@ -11,6 +11,8 @@ import re
 import sys
 from array import array
 
+from kvloom.llm.common import once  # noqa: F401  used by the operators
+
 #: White space of Python or of the tokenisers besides space and newline; fixed values.
 OTHER_SPACE = "".join(map(chr, [0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -44,7 +46,7 @@ class SpacedSegments:
     """Ids by a byte-level vocabulary; encode(segment) -> uint16 bytes is asked once for each new segment."""
 
     def __init__(self, encode, most: int = 350_000):
-        self.encode = encode
+        self.encode, self.added = encode, getattr(encode, "added", lambda text: None)
         self.after_space = Memo(lambda part: self.divided(part, " "), most)
         self.bare = Memo(lambda part: self.divided(part, ""), most // 4)
 
@@ -62,6 +64,8 @@ class SpacedSegments:
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.added(text):
+            return self.encode.all_of(text)
         parts = text.split(" ") if plain(text) else LONE_SPACE.split(text)
         first = self.bare[parts[0]] if parts[0] else b""
         return first + b"".join(map(self.after_space.__getitem__, parts[1:]))
@@ -80,8 +84,8 @@ class WordSegments:
         return self.encode(word)
 
     def ids(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python alone
-            return self.encode(text)
+        if any(c in text for c in "\x1c\x1d\x1e\x1f") or self.encode.added(text):  # white space to Python alone; added tokens
+            return self.encode.all_of(text)
         return b"".join(map(self.memo.__getitem__, text.split()))
 
 
@@ -101,33 +105,35 @@ def byte_letters() -> dict[int, str]:
 
 
 class LibraryEncoder:
-    """Segments by the tokenizers library: its BPE model for plain words, its whole pipeline for all else."""
+    """Segments by the tokenizers library: its BPE model for plain words, its whole pipeline for all else.
+
+    The library takes the vocabulary's added tokens for themselves wherever they stand in a text, some of them with
+    the space around them; `added()` finds texts that may hold one, which have to be encoded as a whole.
+    """
 
     def __init__(self, content: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(content)
-        self.whole.encode_special_tokens = True
         self.model, self.normalizer = self.whole.model, self.whole.normalizer
         self.letters = byte_letters()
+        tokens = [t for t in self.whole.get_added_tokens_decoder().values() if t.content]
+        self.exact = [t.content for t in tokens if not t.normalized]
+        self.folded = [t.content.lower() for t in tokens if t.normalized]
+
+    def added(self, text: str) -> bool:
+        """Whether an added token may stand in the text."""
+        return any(x in text for x in self.exact) or (bool(self.folded) and any(x in text.lower() for x in self.folded))
+
+    def all_of(self, text: str) -> bytes:
+        return pack_ids(self.whole.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, segment: str) -> bytes:
         word = self.normalizer.normalize_str(segment) if self.normalizer else segment
         if (word[1:] if word[:1] == " " and not self.normalizer else word).isalpha():
             got = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
             return pack_ids([t.id for t in got])
-        return pack_ids(self.whole.encode(segment, add_special_tokens=False).ids)
-
-
-_made: dict = {}
-
-
-def once(key, make):
-    """make() once in this Python worker: encoders and their memos serve all its tasks."""
-    if key not in _made:
-        _made.clear()
-        _made[key] = make()
-    return _made[key]
+        return self.all_of(segment)
 
 
 def read_text(path: str) -> str:

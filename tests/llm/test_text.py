@@ -108,6 +108,15 @@ def luhn(s):
     return sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])
 
 
+def given(name, *group):
+    return name.istitle() and name.lower().endswith(tuple(x.lower() for x in pii.GIVEN[group]))
+
+
+def iban97(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
 def test_surrogates(spark):
     rows = [(i, f"see {t} now") for i, t in enumerate(CASES.values())] + [(50, f"again {CASES['ip']}, {CASES['mail']}"), (51, None), (52, ""), (53, "v1.2.3 of 2024-01-02, 416006 at 12:30"), (None, CASES["ip"]), (50, f"again {CASES['ip']}, {CASES['mail']}")]
     df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, n_entities long")
@@ -120,7 +129,7 @@ def test_surrogates(spark):
     assert re.fullmatch(r"4\d{3} \d{4} \d{4} \d{4}", new["card"]) and luhn(new["card"]) % 10 == 0
     assert re.fullmatch("AKIA[A-Z0-9]{16}", new["key"]) and re.fullmatch(r'token = "[0-9a-f]{40}"', new["secret"]) and re.fullmatch(r"\d{3}-\d{2}-\d{4}", new["ssn"])
     m = re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs (\w+), Frau (\w+), Señora (\w+); Господин (\w+)", new["people"])
-    assert m and m[1] in pii.GIVEN["m", "latin"] and m[2] == m[3] and re.fullmatch("[А-я]+", m[6]) and len({m[2], m[4], m[5]}) == 3
+    assert m and given(m[1], "m", "latin") and m[2] == m[3] and re.fullmatch("[А-я]+", m[6]) and len({m[2], m[4], m[5]}) == 3
     assert got[50][0] == f"again {new['ip']}, {new['mail']}" and got[None][0] == new["ip"]
     assert got[51] == (None, 0) and got[52] == ("", 0) and got[53] == (rows[-3][1], 0)
     assert pii.replace_entities(df.where("false")).collect() == []
@@ -132,7 +141,7 @@ def test_colliding_surrogates_are_told_apart(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     real = pii.surrogate
-    monkeypatch.setattr(pii, "surrogate", lambda e, attempt, key: F.when(attempt == 0, F.lit("9.9.9.9")).otherwise(real(e, attempt, key)))
+    monkeypatch.setattr(pii, "surrogate", lambda kind, e, attempt, key: F.when(attempt == 0, F.lit("9.9.9.9")).otherwise(real(kind, e, attempt, key)))
     df = spark.createDataFrame([(i, f"at 10.0.0.{i % 5} and 10.0.0.{i % 5}") for i in range(10)], "doc_id long, text string")
     texts = [r["text"] for r in pii.replace_entities(df).orderBy("doc_id").collect()]
     assert len(set(texts)) == 5 and texts[:5] == texts[5:] and all(t.split()[1] == t.split()[3] for t in texts)
@@ -159,10 +168,84 @@ def test_long_entities_are_replaced_whole(spark):
     assert re.fullmatch(r"token=([A-Z][a-z]\d){100} end", out[0]) and re.fullmatch(r"use sk-([A-Z][a-z]\d[a-z]){25} now", out[1])
     assert not re.search("(Zq7){3}|(Wx9k){3}|Michael|Smith|Jane|Lee", " ".join(out))
     m = re.fullmatch(r"Mr\. (\w+) (\w+) (\w+) met Ms (\w+) (\w+) (\w+) (\w+)\.", out[2])
-    assert m and {m[1], m[2]} <= set(pii.GIVEN["m", "latin"]) and {m[4], m[5], m[6]} <= set(pii.GIVEN["f", "latin"])
+    assert m and all(given(x, "m", "latin") for x in (m[1], m[2])) and all(given(x, "f", "latin") for x in (m[4], m[5], m[6])) and len({m[4], m[5], m[6]}) == 3
     assert re.fullmatch(rf"Mr\. \w+ {m[3]} Mrs \w+ {m[3]}", out[3])
 
 
+def test_names_keep_coreference_and_stay_distinct(spark):
+    first = [f"{a}{b}{c}" for a in "ABCDEFGHIJKLMN" for b in "aeiou" for c in "lmnrst"]
+    out = replaced(spark, [*(f"met Mr {x} Smith today" for x in first), *(f"Mr {x} Smith and Mr Smith" for x in first[:30]), "Mrs Smith", "Ms Aal Smith"])
+    assert len(set(out)) == len(out) and len(first) == 420
+    surname = out[-2].split()[1]
+    assert all(x.split()[3] == surname for x in out[:420]) and all(x.split()[2] == surname == x.split()[5] for x in out[420:450])
+    assert [x.split()[2] for x in out[:30]] == [x.split()[1] for x in out[420:450]]
+    assert all(given(x.split()[2], "m", "latin") for x in out[:420]) and given(out[-1].split()[1], "f", "latin")
+
+
+def test_check_digits(spark):
+    ok = ["4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "5500005555555559"]
+    no = ["1700000000000", "4111 1111 1111 1112", "DE88 3704 0044 0532 0130 00", "1234567890123456"]
+    out = replaced(spark, ok + no)
+    assert out[4:] == no and not set(out[:4]) & set(ok)
+    assert luhn(out[0]) % 10 == 0 == luhn(out[3]) % 10 and iban97(out[1]) == 1 == iban97(out[2]) and out[1][:2] == "DE" and out[2][:2] == "GB"
+    assert re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", out[1]) and re.fullmatch(r"GB\d\d[A-Z]{4}\d{14}", out[2])
+
+
+def test_long_texts_and_columns_of_any_name(spark):
+    long = " ".join(f"word{i} 10.{i % 200}.3.4" for i in range(4000)) + " " + "x" * 100 + "@mail.example.org"
+    df = spark.createDataFrame([(1, long, 5, "a", "b", 7), (None, long, 6, "c", "d", 8)], "doc_id long, text string, pii_pieces long, PII_same string, pii_tries string, _row long")
+    out = pii.replace_entities(df).orderBy("pii_pieces").collect()
+    assert [tuple(r)[2:6] for r in out] == [(5, "a", "b", 7), (6, "c", "d", 8)] and out[0]["text"] == out[1]["text"] and out[0]["n_entities"] == 4001
+    assert len(set(out[0]["text"].split()[1:400:2])) == 200 and re.search(r" [a-z]{100}@[a-z]+\.example$", out[0]["text"])
+
+
+def test_surrogates_against_a_plain_reading(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    old = {r["doc_id"]: r["text"] for r in docs.collect()}
+    import regex
+
+    form = regex.compile(pii.ENTITY)
+    is_real = lambda e: not (regex.fullmatch(r"\d(?:[ -]?\d){12,18}", e) and luhn(e) % 10) and not (regex.fullmatch(pii.IBAN, e) and iban97(e) != 1)
+    to, real = {}, {e for t in old.values() if t for e in form.findall(t) if is_real(e)}
+    assert len(real) > 50
+    for r in pii.replace_entities(docs).collect():
+        before, at, n = old[r["doc_id"]] or "", 0, 0
+        rest = r["text"] or ""
+        found = [m for m in form.finditer(before) if is_real(m[0])]
+        # what lies between entities is as it was; between two such pieces lies the replacement
+        for k, m in enumerate(found):
+            between = before[at : m.start()]
+            assert rest.startswith(between)
+            rest = rest[len(between) :]
+            after = before[m.end() : found[k + 1].start() if k + 1 < len(found) else len(before)]
+            end = len(rest) if not after and k + 1 == len(found) else rest.index(after) if after else None
+            if end is None or k + 1 < len(found):
+                end = len(to[m[0]]) if m[0] in to else rest.index(after[:20]) if after else len(rest)
+            new = rest[:end]
+            assert to.setdefault(m[0], new) == new and new not in real and new != m[0]
+            rest, at, n = rest[end:], m.end(), n + 1
+        assert rest == before[at:] and r["n_entities"] == n
+    assert len(set(to.values())) == len(to)
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    long = " ".join(f"the house number {i} of the old street near the river and the" for i in range(1500))
+    rows = [(1, "mail a.b@c.org the old house of the street", "en"), (5, "mail a.b@c.org the old house of the street", "en"), (5, "a text of its own that is not the same as the others", "en"), (None, None, None), (None, "", "en"), (7, long, "en"), (None, long + " end", None), (7, "the cat and the dog sat on the mat in the house", None)]
+    df = spark.createDataFrame([(i, t, x, len(t or ""), 1, 2, "c", True, 0.5) for i, t, x in rows], "doc_id long, text string, lang string, n_chars long, row_key long, n_entities long, text_before string, rejected boolean, score double")
+    told = lambda d: sorted(((r["doc_id"] or -1), (r["text"] or "")[:30]) for r in d.collect())
+    spoken = pipeline.language(spark, df, "")
+    assert spoken.columns == df.columns and {(r["row_key"], r["rejected"], r["score"]) for r in spoken.collect()} == {(1, True, 0.5)} and len(told(spoken)) == 6
+    assert told(pipeline.exact(spark, df, "")) == sorted((i or -1, (t or "")[:30]) for i, t, _ in [rows[0], *rows[2:4], *rows[5:]])
+    assert told(pipeline.near(spark, df, "")) == sorted((i or -1, (t or "")[:30]) for i, t, _ in [rows[0], *rows[2:6], rows[7]])
+    private = pipeline.private(spark, df, "")
+    assert private.columns == df.columns and private.count() == 8 and {(r["n_entities"], r["text_before"]) for r in private.collect()} == {(2, "c")}
+    assert {r["n_chars"] - len(r["text"] or "") for r in private.collect()} == {0} and "a.b@c.org" not in str(private.collect())
+    assert sum(r["length"] for r in pipeline.packed(spark, df, "").collect()) > 8
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, df.where("false"), "").collect() == []
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
