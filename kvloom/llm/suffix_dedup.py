@@ -3,12 +3,15 @@
 1. Each text's K-byte strings get polynomial hashes (from prefix hashes); of each `least`-byte window the K-byte
    string of smallest hash is its anchor. Equal windows have equal anchors at equal places, so two equal windows
    always meet at an anchor that occurs twice. Anchors are about 2 / (least - K + 2) of all positions.
-2. An anchor's context is all bytes of windows that contain it. Contexts that occur twice are removed whole, by
-   their hashes alone; their number is combined before the shuffle, however many copies there are.
+2. An anchor's context is all bytes of windows that contain it. Contexts that occur twice, as 128-bit digests of
+   their bytes tell, are removed whole; their number is combined before the shuffle, however many copies there are.
 3. Other contexts of an anchor that occurs twice are suffix-sorted, forward from the anchor and backward from
    it: a mergesort whose comparisons find the common extension by binary search over prefix hashes. Every sorted
    neighbour pair is then checked byte by byte, and rows are sorted anew by their bytes if a hash misled.
 4. Of the two orders and their common extensions follow the windows at each place that are equal to another's.
+5. An anchor with more contexts than a task takes is divided by what equal windows share: those that start lo to hi
+   bytes before the anchor share lo bytes before it and least - hi from it on. The range of starts is halved and
+   contexts part by those bytes, until a group is small enough or a single window.
 """
 
 from __future__ import annotations
@@ -20,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import Powers, blocks, drop, mix64, scratch, small, stored, texts_of
+from kvloom.llm.common import Powers, blocks, drop, mix64, numbered, parts, scratch, small, stored, texts_of
 
 LEAST, K = 200, 64
-#: Different contexts of one anchor that are sorted together; those of an anchor with more are told apart window by window.
-SORTED = 50_000
+#: Different contexts of one anchor that are sorted together; an anchor with more is divided by the bytes its windows share.
+SORTED = 20_000
 BASE = 0xD1342543DE82EF95
 _POWERS = Powers(BASE)
 _POS = np.uint64((1 << 24) - 1)
@@ -43,7 +46,7 @@ def span_hash(total, down, start, end):
 
 
 def anchors(texts: list[bytes], least: int = LEAST, k: int = K):
-    """For each run of texts: index of the text, place in it, anchor hash, context hash, bytes before and from the place on."""
+    """For each run of texts: index of the text, place in it, anchor hash, context digest (two int64), bytes before and from the place on."""
     width = least - k + 1
     for first, part in blocks(texts, 1 << 20):
         sizes = np.array([len(t) for t in part])
@@ -63,8 +66,10 @@ def anchors(texts: list[bytes], least: int = LEAST, k: int = K):
         doc = np.searchsorted(starts, at, side="right") - 1
         lo = np.maximum(starts[doc], at - (least - k))
         hi = np.minimum(starts[doc + 1], at + least)
-        context = mix64(span_hash(total, down, lo, hi) + (at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        yield first + doc, at - starts[doc], h[at], context, at - lo, hi - at
+        raw = memoryview(buf)
+        # contexts are equal if their bytes and the anchor's place in them are
+        digests = b"".join([hashlib.blake2b(raw[a:b], digest_size=16, salt=n.to_bytes(2, "little")).digest() for a, b, n in zip(lo.tolist(), hi.tolist(), (at - lo).tolist())])
+        yield first + doc, at - starts[doc], h[at], np.frombuffer(digests, np.int64).reshape(-1, 2), at - lo, hi - at
 
 
 def _smallest(h: np.ndarray, inside: np.ndarray, width: int) -> np.ndarray:
@@ -89,14 +94,15 @@ def _smallest(h: np.ndarray, inside: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchor_table(docs: DataFrame, least: int, k: int) -> DataFrame:
-    """(row, place, anchor, context, before, after) of every anchor."""
-    schema = "row long, place int, anchor long, context long, before int, after int"
+    """(row, place, anchor, context, context2, before, after) of every anchor."""
+    schema = "row long, place int, anchor long, context long, context2 long, before int, after int"
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             rows = batch.column(0).to_numpy()
             for doc, place, anchor, context, before, after in anchors(texts_of(batch), least, k):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[doc]), pa.array(place.astype(np.int32)), pa.array(anchor.astype(np.int64)), pa.array(context.astype(np.int64)), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32))], names=["row", "place", "anchor", "context", "before", "after"])
+                columns = (rows[doc], place.astype(np.int32), anchor.astype(np.int64), context[:, 0], context[:, 1], before.astype(np.int32), after.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=[c.split()[0] for c in schema.split(", ")])
 
     return docs.select("row", "text").mapInArrow(run, schema)
 
@@ -171,8 +177,8 @@ def suffix_sort(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, shared
 
 
-def repeated_windows(contexts: list[bytes], before: np.ndarray, group: np.ndarray, least: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context, bytes before the anchor) of each window that another context of the group holds at the same place.
+def repeated_windows(contexts: list[bytes], before: np.ndarray, group: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, bytes before the anchor: lo to hi) of each window that another context of the group holds at the same place.
 
     Two orders tell it: with i bytes before the anchor two windows are equal if their contexts share i bytes
     backward and least - i forward. Runs of such neighbours are numbered in both orders; equal pairs of numbers
@@ -197,7 +203,7 @@ def repeated_windows(contexts: list[bytes], before: np.ndarray, group: np.ndarra
     new_group = np.append(True, group[1:] != group[:-1])
     for i in range(back + 1):
         # a window with i bytes before must lie inside the context
-        fits = (before >= i) & (after >= least - i)
+        fits = (before >= i) & (after >= least - i) & (lo <= i) & (i <= hi)
         if not fits.any():
             continue
         number_f[order_f] = np.cumsum((shared_f < least - i) | new_group)
@@ -214,14 +220,15 @@ def repeated_windows(contexts: list[bytes], before: np.ndarray, group: np.ndarra
 
 
 def sorted_spans(contexts: DataFrame, least: int, k: int) -> DataFrame:
-    """(row, start, end): spans of bytes in windows that repeat, from the contexts of anchors that occur twice."""
+    """(row, start, end): spans of bytes in windows that repeat, from contexts in groups of at least two."""
 
     def run(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values(["anchor", "row", "place"], ignore_index=True)
-        _, group = np.unique(pdf["anchor"].to_numpy(), return_inverse=True)
-        at, i = repeated_windows(pdf["bytes"].tolist(), pdf["before"].to_numpy().astype(np.int64), group, least, k)
+        pdf = pdf.sort_values(["group", "lo", "row", "place"], ignore_index=True)
+        group = np.cumsum(np.append(False, (np.diff(pdf["group"].to_numpy()) != 0) | (np.diff(pdf["lo"].to_numpy()) != 0)))
+        lo, hi = (pdf[c].to_numpy() for c in ("lo", "hi"))
+        at, i = repeated_windows(pdf["bytes"].tolist(), pdf["before"].to_numpy().astype(np.int64), group, lo, hi, least, k)
         row, start = pdf["row"].to_numpy()[at], pdf["place"].to_numpy()[at] - i
         order = np.lexsort((start, row))
         at, row, start = at[order], row[order], start[order]
@@ -232,21 +239,23 @@ def sorted_spans(contexts: DataFrame, least: int, k: int) -> DataFrame:
     return contexts.groupBy("bucket").applyInPandas(run, "row long, start int, end int")
 
 
-def hashed_spans(contexts: DataFrame, least: int, k: int) -> DataFrame:
-    """What sorted_spans gives, for anchors with too many contexts for one task: equal windows by 128-bit digests."""
+def halved(contexts: DataFrame, least: int) -> DataFrame:
+    """Contexts in groups by each half of their range of starts and the bytes that its equal windows share."""
+    schema = "row long, place int, before int, bytes binary, group long, lo int, hi int"
 
     def run(batches):
         for batch in batches:
             rows = []
-            for row, place, anchor, before, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                for i in range(max(0, least - (len(text) - before)), min(before, least - k) + 1):
-                    at = before - i
-                    rows.append((row, place - i, anchor, i, hashlib.blake2b(text[at : at + least], digest_size=16).digest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["row", "start", "anchor", "i", "digest"])
+            for row, place, before, text, group, lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
+                mid = (lo + hi) // 2
+                for a, b in ((lo, mid), (mid + 1, hi)):
+                    if before >= a and len(text) - before >= least - b:
+                        shared = hashlib.blake2b(text[before - a : before + least - b], digest_size=8, key=(group % (1 << 64)).to_bytes(8, "little"), salt=a.to_bytes(2, "little")).digest()
+                        rows.append((row, place, before, text, int.from_bytes(shared, "little", signed=True), a, b))
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=[c.split()[0] for c in schema.split(", ")])
 
-    windows = contexts.select("row", "place", "anchor", "before", "bytes").mapInArrow(run, "row long, start int, anchor long, i int, digest binary")
-    twice = windows.groupBy("anchor", "i", "digest").count().where("count > 1").drop("count")
-    return windows.join(twice, ["anchor", "i", "digest"]).select("row", "start", (F.col("start") + least).alias("end"))
+    return contexts.select("row", "place", "before", "bytes", "group", "lo", "hi").mapInArrow(run, schema)
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, most: int = SORTED) -> DataFrame:
@@ -260,16 +269,19 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K, id_col: s
     spark = docs.sparkSession
     path = scratch(spark, "suffix_dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    key = _row_key(docs)
-    keyed = docs.withColumn("row", key)
+    rows = numbered(docs, "doc_id", "row", f"{path}/rows")
+    keyed = docs.withColumn("row", F.col("doc_id")) if rows is None else rows
     table = stored(anchor_table(keyed, least, k), f"{path}/anchors")
 
-    twice = table.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("several"))
-    twice = stored(table.join(twice, "anchor"), f"{path}/twice")
-    drop(spark, f"{path}/anchors")
-    alike = twice.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one"), F.max("several").alias("several"), F.first("before").alias("before"), F.first("after").alias("after"))
+    # small sides are written before they are joined, so that a frequent anchor's rows may be split
+    kind = ["anchor", "context", "context2"]
+    ends = F.struct("context", "context2")
+    repeated = table.groupBy("anchor").agg(F.count("*").alias("n"), F.min(ends).alias("a"), F.max(ends).alias("b")).where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("several"))
+    twice = stored(table.join(stored(repeated, f"{path}/repeated"), "anchor"), f"{path}/twice")
+    drop(spark, f"{path}/anchors", f"{path}/repeated")
+    alike = twice.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one"), F.max("several").alias("several"), F.first("before").alias("before"), F.first("after").alias("after"))
     alike = stored(alike, f"{path}/alike")
-    whole = twice.join(alike.where("n > 1").select("anchor", "context"), ["anchor", "context"]).where(f"before + after >= {least}").select("row", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("end"))
+    whole = twice.join(stored(alike.where("n > 1").select(*kind), f"{path}/copies"), kind).where(f"before + after >= {least}").select("row", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("end"))
 
     # one context of each kind, of anchors that have several kinds, cut from its text
     wanted = alike.where("several").select(F.col("one.row").alias("row"), F.col("one.place").alias("place"), "anchor", "before", "after")
@@ -283,39 +295,45 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K, id_col: s
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["row", "place", "anchor", "before", "bytes"])
 
     contexts = keyed.join(wanted, "row").select("row", "text", "cuts").mapInArrow(cut, "row long, place int, anchor long, before int, bytes binary")
-    total = alike.where("several").count()
+    contexts = contexts.select("row", "place", "before", "bytes", F.col("anchor").alias("group"), F.lit(0).alias("lo"), F.lit(least - k).alias("hi"))
+    counts = alike.where("several").groupBy(F.col("anchor").alias("group"), F.lit(0).alias("lo")).count()
+    total, level = alike.where("several").count(), 0
+    small_ones: list[DataFrame] = []
+    while not (many := stored(counts.where(f"count > {most}").select("group", "lo"), f"{path}/many{level}")).isEmpty():
+        contexts = stored(contexts, f"{path}/contexts{level}")
+        large = contexts.join(many, ["group", "lo"])
+        # all of a group of one window are equal; other large groups are divided
+        whole = whole.union(large.where("lo = hi").select("row", (F.col("place") - F.col("lo")).alias("start"), (F.col("place") - F.col("lo") + least).alias("end")))
+        small_ones.append(contexts.join(many, ["group", "lo"], "left_anti"))
+        level += 1
+        contexts = stored(halved(large.where("lo < hi"), least), f"{path}/halves{level}")
+        counts = contexts.groupBy("group", "lo").count()
+        contexts = contexts.join(stored(counts.where("count > 1").select("group", "lo"), f"{path}/pairs{level}"), ["group", "lo"])
+        total += contexts.count()
+    for part in small_ones:
+        contexts = contexts.union(part.select(contexts.columns))
     buckets = max(8, total // 20_000 + 1)
-    many = stored(alike.where("several").groupBy("anchor").count().where(f"count > {most}").select("anchor"), f"{path}/many")
-    if not many.isEmpty():
-        contexts = stored(contexts, f"{path}/contexts")
-        whole = whole.union(hashed_spans(contexts.join(many, "anchor"), least, k))
-        contexts = contexts.join(many, "anchor", "left_anti")
-    spans = sorted_spans(contexts.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))), least, k)
+    spans = sorted_spans(contexts.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets))), least, k)
     spans = stored(whole.union(spans).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")), f"{path}/spans")
     drop(spark, f"{path}/twice", f"{path}/alike", f"{path}/wanted")
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def kept(batches):
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for key, text, spans in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist()):
-                parts, at, n = [], 0, 0
+                pieces, at, n = [], 0, 0
                 for s in spans or ():
                     if s["start"] > at or n == 0:
                         n += 1
-                        parts.append(text[at : s["start"]])
+                        pieces.append(text[at : s["start"]])
                     at = max(at, s["end"])
-                parts.append(text[at:])
-                left = b"".join(parts)
+                pieces.append(text[at:])
+                left = b"".join(pieces)
                 rows.append((key, len(text), len(text) - len(left), n, hashlib.sha256(left).hexdigest(), left)[: 5 + with_text])
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[: 5 + with_text]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names=[c.split()[0] for c in schema.split(", ")])
 
     return keyed.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(kept, schema)
 
-
-def _row_key(docs: DataFrame):
-    """The id if it is one row's alone, else (nulls, repeated ids) a number of the row in its partition of the scan."""
-    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
-    return F.monotonically_increasing_id() if odd else F.col("doc_id")
