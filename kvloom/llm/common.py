@@ -17,6 +17,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def exists(spark, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores until no column of df has it in any case."""
     taken = {c.lower() for c in df.columns}

@@ -46,9 +46,15 @@ def decode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.rint(2 * np.where(pick, a, b)).astype(np.int64), np.rint(2 * np.where(pick, b, a)).astype(np.int64)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by their largest component, so that no square over- or underflows."""
+    return x / np.abs(x).max(1, keepdims=True)
+
+
 def cells(x: np.ndarray, tables: int = TABLES, parts: int = PARTS, scale: float = SCALE, seed: int = SEED) -> np.ndarray:
     """Cell codes (n, tables, 1 + parts): own cell, then the neighbouring ones."""
     r, shift = projections(x.shape[1], tables, parts, scale, seed)
+    x = scaled(x)
     y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ r + shift
     own, near = decode(y.reshape(-1, 8))
     weights = mix64(np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -107,7 +113,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, tables: int = TABL
             la, lb = np.diff(oa), np.diff(ob)
             for dim in np.unique(la[la == lb]):
                 s = np.flatnonzero((la == dim) & (lb == dim))
-                p, q = a[oa[s][:, None] + np.arange(dim)], b[ob[s][:, None] + np.arange(dim)]
+                p, q = scaled(a[oa[s][:, None] + np.arange(dim)]), scaled(b[ob[s][:, None] + np.arange(dim)])
                 good[s] = (p * q).sum(1) / np.sqrt((p * p).sum(1) * (q * q).sum(1)) >= threshold
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
 

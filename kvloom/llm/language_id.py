@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvloom.llm.common import blocks, forget, parts
+from pyspark.sql.window import Window
+
+from kvloom.llm.common import blocks, forget, parts, scratch, stored
 
 #: Features, n-gram lengths, labelled rows of each language that are learnt from at most, centroids a language.
 FEATURES, GRAMS, SAMPLE, CENTROIDS = 4096, (1, 2, 3, 4), 600, 4
@@ -93,7 +95,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     """Model of at most `sample` labelled rows a language that aren't held out, those of smallest hashed id.
 
     Reads only text and lang. Each language's share is found from its count, so about 2 * sample rows reach the
-    ranking; what the driver collects are their vectors of FEATURES counts, deflated. None if nothing is labelled.
+    ranking; each language's rows are clustered in one task, and the driver collects what is learnt of it: CENTROIDS
+    + 2 rows of FEATURES numbers. None if nothing is labelled.
     """
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang", F.xxhash64("doc_id", F.lit(7)).alias("h"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -110,25 +113,37 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
                 n = len(m)
                 yield pa.RecordBatch.from_arrays([pa.array(lang[first : first + n]), pa.array(h[first : first + n]), pa.array(ids[first : first + n], pa.int64()), pa.array([zlib.compress(r.tobytes(), 1) for r in m], pa.binary())], names=["lang", "h", "doc_id", "v"])
 
-    rows = near.select("text", "lang", "h", "doc_id").mapInArrow(counted, "lang string, h long, doc_id long, v binary").collect()
-    by: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["doc_id"] is None, r["doc_id"] or 0)):
-        if len(own := by.setdefault(r["lang"], [])) < sample:
-            own.append(np.frombuffer(zlib.decompress(r["v"]), np.float32))
-    langs = sorted(by)
-    everything = np.concatenate([np.stack(by[x]) for x in langs])
-    idf = np.log((1 + len(everything)) / (1 + (everything > 0).sum(0))).astype(np.float32) + 1
-    centroids, owner, ratios, floor, spread = [], [], [], [], []
-    for k, lang in enumerate(langs):
-        x = unit(np.log1p(np.stack(by[lang]).astype(np.float64)) * idf)
-        c = clustered(x, CENTROIDS)
-        centroids.append(c)
-        owner += [k] * len(c)
-        counts = np.stack(by[lang]).astype(np.float64)
-        ratios.append(np.log((counts.sum(0) + 0.5) / (counts.sum() / FEATURES + 0.5)).astype(np.float32))
-        floor.append(float(np.quantile(mean_ratios(counts, ratios[-1]), LOW)))
-        spread.append(float(np.sqrt(np.cov(ratios[-1], aweights=counts.sum(0), ddof=0))))
-    return {"langs": langs, "idf": idf, "centroids": np.concatenate(centroids).astype(np.float32), "owner": np.array(owner), "ratios": np.stack(ratios), "floor": np.array(floor), "spread": np.array(spread)}
+    order = Window.partitionBy("lang").orderBy("h", F.col("doc_id").isNull(), "doc_id")
+    picked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("text", "lang", "h", "doc_id")
+    rows = stored(picked.mapInArrow(counted, "lang string, h long, doc_id long, v binary"), scratch(docs.sparkSession, "language_rows"))
+
+    def matrix(pdf):
+        return np.stack([np.frombuffer(zlib.decompress(v), np.float32) for v in pdf.sort_values(["h", "doc_id"])["v"]])
+
+    def frequencies(pdf):
+        import pandas as pd
+
+        m = matrix(pdf)
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "n": [len(m)], "df": [(m > 0).sum(0).astype(np.int64).tobytes()]})
+
+    seen = rows.groupBy("lang").applyInPandas(frequencies, "lang string, n long, df binary").collect()
+    df = np.sum([np.frombuffer(r["df"], np.int64) for r in seen], axis=0)
+    idf = np.log((1 + sum(r["n"] for r in seen)) / (1 + df)).astype(np.float32) + 1
+
+    def learnt(pdf):
+        import pandas as pd
+
+        counts = matrix(pdf).astype(np.float64)
+        centroids = clustered(unit(np.log1p(counts) * idf), CENTROIDS).astype(np.float32)
+        ratios = np.log((counts.sum(0) + 0.5) / (counts.sum() / FEATURES + 0.5)).astype(np.float32)
+        floor = float(np.quantile(mean_ratios(counts, ratios), LOW))
+        spread = float(np.sqrt(np.cov(ratios, aweights=counts.sum(0), ddof=0)))
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "centroids": [centroids.tobytes()], "ratios": [ratios.tobytes()], "floor": [floor], "spread": [spread]})
+
+    per = sorted(rows.groupBy("lang").applyInPandas(learnt, "lang string, centroids binary, ratios binary, floor double, spread double").collect(), key=lambda r: r["lang"])
+    centroids = [np.frombuffer(r["centroids"], np.float32).reshape(-1, FEATURES) for r in per]
+    numbers = {c: np.array([r[c] for r in per]) for c in ("floor", "spread")}
+    return {"langs": [r["lang"] for r in per], "idf": idf, "centroids": np.concatenate(centroids), "owner": np.repeat(np.arange(len(per)), [len(c) for c in centroids]), "ratios": np.stack([np.frombuffer(r["ratios"], np.float32) for r in per])} | numbers
 
 
 def identify(docs: DataFrame, model: dict | None, reject: float = REJECT) -> DataFrame:

@@ -21,7 +21,7 @@ def brute_exact(rows):
     groups = defaultdict(list)
     for i, t in rows:
         groups[norm(t)].append(i)
-    return sorted(((i is None, i or 0), min((x for x in groups[norm(t)] if x is not None), default=None), len(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in rows)
+    return sorted((((i is None, i or 0), min((x for x in groups[norm(t)] if x is not None), default=None), len(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in rows), key=str)
 
 
 @pytest.mark.parametrize("bits", [256, 8])
@@ -30,7 +30,7 @@ def test_exact(spark, odd, bits):
     extra = spark.createDataFrame([(100 + i, f"t{i % 40}") for i in range(120)], "doc_id long, text string")
     rows += [(r["doc_id"], r["text"]) for r in extra.collect()]
     out = exact_dedup.exact_dedup(odd.select("doc_id", "text").union(extra), digest_bits=bits).collect()
-    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["keep_id"], r["group_size"], r["text_sha256"]) for r in out) == brute_exact(rows)
+    assert sorted((((r["doc_id"] is None, r["doc_id"] or 0), r["keep_id"], r["group_size"], r["text_sha256"]) for r in out), key=str) == brute_exact(rows)
     assert sum(r["kept"] for r in out) == len({norm(t) for _, t in rows})
 
 
@@ -43,6 +43,23 @@ def test_exact_goes_on_from_its_state(spark, tmp_path):
     assert sorted((r["keep_id"], r["group_size"]) for r in state.collect()) == [(0, 4), (1, 3), (2, 3)]
 
 
+@pytest.mark.parametrize("bits", [256, 8])
+def test_two_batches_are_one(spark, tmp_path, bits):
+    rows = [(i, f"t{i * 7 % 50}  x") for i in range(60)] + [(None, "t3 x"), (None, None), (200, ""), (5, "t35 x")]
+    parts = [spark.createDataFrame(x, "doc_id long, text string") for x in (rows[30:], rows[:20], rows[20:30])]
+    home = f"file://{tmp_path}/cp"
+    seen = []
+    for part, own in zip(parts, (rows[30:], rows[:20], rows[20:30])):
+        out = exact_dedup.exact_dedup(part, digest_bits=bits, checkpoint=home).collect()
+        seen += own
+        got = [((r["doc_id"] is None, r["doc_id"] or 0), r["keep_id"], r["group_size"], r["text_sha256"]) for r in out]
+        want = {(x[0], x[3]): x for x in brute_exact(seen)}
+        assert len(out) == len(own) and all(want[x[0], x[3]] == x for x in got)
+        assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in out if r["doc_id"] not in (None, 5))
+    feed = spark.read.parquet(f"{home}/feed")
+    assert feed.select("locator").distinct().count() == len(rows) == feed.count()
+
+
 def test_exact_of_nothing(nothing):
     assert exact_dedup.exact_dedup(nothing).collect() == []
 
@@ -265,6 +282,15 @@ def test_bitmaps_never_rule_a_link_out():
         assert ok or not link
 
 
+def test_awkward_vectors(spark):
+    rng = np.random.default_rng(9)
+    one = rng.standard_normal(4000)
+    rows = [(None, one, 1), (None, one * 3e150, 2), (5, one * 1e-160, 3), (5, -one, 4), (5, one, 5), (8, rng.standard_normal(4000), 6), (9, one[:9], 7)]
+    df = spark.createDataFrame([(i, [float(x) for x in v], k, k, k) for i, v, k in rows], "vec_id long, embedding array<double>, node long, h long, kept long")
+    got = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(df).collect())
+    assert got == sorted([(-1, 3, 5, False)] * 2 + [(5, 3, 5, True), (5, 0, 5, True), (5, 3, 5, True), (8, 0, 8, True), (9, 0, 9, True)])
+
+
 def test_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((60, 64))

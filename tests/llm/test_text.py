@@ -69,6 +69,32 @@ def test_language_held_out_accuracy(spark):
     assert np.allclose(again["centroids"], model["centroids"], atol=1e-5)
 
 
+def test_predictions_against_plain_centroids(spark):
+    """A dictionary of n-gram counts a text, no hashing of batches: the same nearest centroids and scores; ties go to the first."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs)
+    rows = language_id.identify(docs.select("doc_id", "text"), model).collect()
+    assert sum(language_id.has_letter(r["text"]) for r in rows) > 100
+    mask = (1 << 64) - 1
+    for r in rows:
+        if not language_id.has_letter(r["text"]):
+            continue
+        text = re.sub(rb"[^a-z\x80-\xff]+", b" ", b" " + r["text"].lower().encode() + b" ")
+        counts = np.zeros(language_id.FEATURES)
+        for n in language_id.GRAMS:
+            for i in range(len(text) - n + 1):
+                code = n
+                for c in text[i : i + n]:
+                    code = (code * 0x100000001B3 + c) & mask
+                counts[((((code ^ code >> 29) * 0xBF58476D1CE4E5B9) & mask) >> 40) % language_id.FEATURES] += 1
+        v = np.log1p(counts) * model["idf"]
+        cos = model["centroids"] @ (v / np.linalg.norm(v))
+        assert abs(r["score"] - cos.max()) < 1e-4
+        assert r["lang_pred"] in {model["langs"][model["owner"][k]] for k in np.flatnonzero(cos > cos.max() - 1e-5)}
+    same = dict(model, centroids=np.repeat(model["centroids"][:1], len(model["centroids"]), axis=0))
+    assert {r["lang_pred"] for r in language_id.identify(docs.select("doc_id", "text"), same).collect()} <= {"und", model["langs"][0]}
+
+
 def test_language_awkward(spark, odd, nothing):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language_id.fit(docs)
