@@ -62,7 +62,7 @@ def lookup(requested: DataFrame, objects: DataFrame, now: Column, columns: list[
 
 def lookup_all(requested: DataFrame, objects: DataFrame, columns: list[str]) -> DataFrame:
     """FLT11: strict multi-get: rows only if every requested key exists, else none."""
-    got = requested.join(objects.select(*ID, *columns), ID, "left_outer").withColumn("_missing", F.col(columns[0]).isNull())
+    got = requested.join(objects.select(*ID, *columns, F.lit(True).alias("_f")), ID, "left_outer").withColumn("_missing", F.col("_f").isNull()).drop("_f")
     missing = got.agg(F.count_if("_missing").alias("_n"))
     return got.drop("_missing").crossJoin(F.broadcast(missing)).where("_n = 0").drop("_n")
 
@@ -126,17 +126,26 @@ def resolve(keys: DataFrame, locations: DataFrame) -> DataFrame:
     locations: (key, field, fragment, row). Fields that some key lacks are left out; all keys must exist.
     """
     n = keys.count()
-    got = keys.join(locations, "key")
-    vectors = got.groupBy("field").agg(F.array_sort(F.collect_list(F.struct("pos", "fragment", "row"))).alias("at")).where(F.size("at") == n)
-    return vectors.groupBy("at").agg(F.array_join(F.array_sort(F.collect_list("field")), ",").alias("fields")).select("fields", F.explode("at").alias("x")).select("fields", "x.pos", "x.fragment", "x.row")
+    got = keys.join(locations, "key").select("field", "pos", "fragment", "row")
+    # a field's locations are told by their number and two sums of hashes, so no task holds all keys of a field
+    hashed = [F.sum(F.xxhash64(F.lit(seed), "pos", "fragment", "row").cast("decimal(38,0)")).alias(f"_h{seed}") for seed in (1, 2)]
+    told = got.groupBy("field").agg(F.count("*").alias("_n"), *hashed).where(F.col("_n") == n)
+    groups = told.groupBy("_h1", "_h2").agg(F.min("field").alias("field"), F.array_join(F.array_sort(F.collect_list("field")), ",").alias("fields"))
+    return got.join(groups.select("field", "fields"), "field").select("fields", "pos", "fragment", "row")
 
 
 def append_columns(left: DataFrame, right: DataFrame, row: str = "row_id", overwrite: bool = False) -> DataFrame:
-    """JN2: columns of right added to the rows of left by row id; a name on both sides is an error unless overwrite."""
+    """JN2: columns of right added to the rows of left by row id; a name on both sides is an error unless overwrite.
+
+    Both sides must hold the same rows: a row id that only one side has aborts the job when it runs.
+    """
     both = [c for c in right.columns if c in left.columns and c != row]
     if both and not overwrite:
         raise ValueError(f"columns exist: {both}")
-    return left.drop(*both).join(right, row)
+    own = left.drop(*both).withColumn("_l", F.lit(True)).join(right.withColumn("_r", F.lit(True)), row, "full_outer")
+    alone = F.col("_l").isNull() | F.col("_r").isNull()
+    checked = F.when(alone, F.raise_error(F.concat(F.lit("row on one side only: "), F.col(row).cast("string")))).otherwise(F.col(row))
+    return own.withColumn(row, checked.cast(left.schema[row].dataType)).drop("_l", "_r")
 
 
 def is_subset(old: DataFrame, new: DataFrame, shard: str, member: str) -> DataFrame:

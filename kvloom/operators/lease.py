@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kvloom.operators.ranks import ranked
+from kvloom.operators.ranks import ranked, top_per_group
 
 
 def lease_after_read(lease: Column, now: Column, ttl_ms: int) -> dict[str, Column]:
@@ -53,6 +53,17 @@ def evict_buckets(buckets: DataFrame, required: int, lru: bool = True, most: int
     return run.where((F.col("_sum") - F.col("size") < required) & (F.col("_rank") < most)).select("bucket_id", "size")
 
 
+def evict_to_limits(buckets: DataFrame, quota: int, space: int, physical: int, lru: bool = True, most: int = 1000) -> DataFrame:
+    """LS5: whole buckets (bucket_id, size, disk, last_access) freed until three limits hold, `most` at most.
+
+    Over by `quota` logical bytes (size), short of `space` free bytes and over a cap by `physical` bytes (both disk).
+    """
+    order = [F.col("last_access"), F.col("bucket_id")] if lru else [F.col("bucket_id")]
+    run = ranked(buckets, [], order, "_rank", None, {"_size": F.col("size"), "_disk": F.col("disk")})
+    wanted = (F.col("_size") - F.col("size") < quota) | (F.col("_disk") - F.col("disk") < max(space, physical))
+    return run.where(wanted & (F.col("_rank") < most)).select("bucket_id", "size", "disk")
+
+
 def list_order(touches: DataFrame, key: str, seq: str, capacity: int, lru: bool = True) -> DataFrame:
     """LS6: keys that a list of `capacity` still holds after all touches: by latest touch (LRU) or latest entries (FIFO, re-adds are entries of their own)."""
     if lru:
@@ -67,6 +78,55 @@ def promoted(hits: DataFrame, keys: list[str], threshold: int) -> DataFrame:
     return hits.groupBy(*keys).agg(F.count("*").alias("hits")).where(F.col("hits") >= threshold)
 
 
+def promotion_queue(hits: DataFrame, tenant: str, key: str, seq: str, threshold: int, limit: int) -> DataFrame:
+    """LS7: keys in the order in which their tenant's hits reach the threshold, as far as a queue of `limit` takes them.
+
+    hits are those on disk-only keys. Only a key's first `threshold` hits are looked at, so a hot key costs no more.
+    """
+    first = top_per_group(hits.select(tenant, key, seq), [tenant, key], [F.col(seq)], threshold, "_n")
+    reached = first.where(F.col("_n") == threshold).select(tenant, key, F.col(seq).alias("queued_at"))
+    return reached.orderBy("queued_at").limit(limit)
+
+
+def count_min(hits: DataFrame, key: str, seq: str, width: int = 4096, depth: int = 4, most: int = 255) -> DataFrame:
+    """AGG18: (key, estimate): count-min estimates with saturating counters that are all halved after width x depth hits.
+
+    Hits are numbered in order of seq; per counter the hits between two halvings are summed before they move, then
+    folded in their order: at most one entry a counter and halving. The estimate is a key's smallest counter.
+    """
+    period = width * depth
+    numbered = ranked(hits.select(key, seq), [], [F.col(seq)], "_rank").withColumn("_e", F.floor(F.col("_rank") / period))
+    slot = lambda i: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(i)), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(width))
+    slots = F.explode(F.array(*[F.struct(F.lit(i).alias("row"), slot(i).alias("slot")) for i in range(depth)])).alias("_s")
+    sums = numbered.groupBy(key, "_e").agg(F.count("*").alias("n")).select("_e", "n", slots).groupBy("_s", "_e").agg(F.sum("n").alias("n"))
+    halvings = numbered.agg(F.floor(F.count("*") / period).alias("_h"))
+    entries = sums.groupBy("_s").agg(F.array_sort(F.collect_list(F.struct("_e", "n"))).alias("_x"))
+    halved = lambda c, times: F.call_function("shiftright", c, F.least(times, F.lit(62)).cast("int"))
+    step = lambda acc, x: F.struct(F.least(F.lit(most).cast("long"), halved(acc["c"], x["_e"] - acc["e"]) + x["n"]).alias("c"), x["_e"].alias("e"))
+    zero = F.lit(0).cast("long")
+    folded = entries.select("_s", F.aggregate("_x", F.struct(zero.alias("c"), zero.alias("e")), step).alias("_r")).crossJoin(F.broadcast(halvings))
+    counters = folded.select("_s", halved(F.col("_r.c"), F.col("_h") - F.col("_r.e")).alias("c"))
+    return hits.select(key).distinct().select(key, slots).join(counters, "_s").groupBy(key).agg(F.min("c").alias("estimate"))
+
+
+def copy_proposals(hits: DataFrame, key: str, ts: str, seconds: int, qps: float, mode: str = "enforce", replicas: DataFrame | None = None, most_replicas: int = 3, tracked: int = 50_000, cooldown: int = 0) -> DataFrame:
+    """LS8: (key, window_start, hits, action) of hot aligned windows. Modes: off (none), observe, enforce (action copy).
+
+    Only the `tracked` keys of a window that were hit first in it are counted. Keys with `most_replicas` (replicas:
+    key, n) are left out, as are windows that start within `cooldown` seconds of the key's last proposal.
+    """
+    if mode not in ("off", "observe", "enforce"):
+        raise ValueError(f"unknown mode {mode}")
+    w = F.window(F.col(ts).cast("timestamp"), f"{seconds} seconds")
+    each = hits.groupBy(key, w["start"].alias("window_start")).agg(F.count("*").alias("hits"), F.min(F.col(ts).cast("timestamp")).alias("_first"))
+    hot = ranked(each, ["window_start"], [F.col("_first"), F.col(key)], "_rank").where((F.col("_rank") < tracked) & (F.col("hits") >= qps * seconds) & F.lit(mode != "off"))
+    if replicas is not None:
+        hot = hot.join(replicas.where(F.col("n") >= most_replicas).select(key), key, "left_anti")
+    spots = F.array_sort(F.collect_list(F.struct("window_start", "hits")))
+    kept = F.aggregate(F.col("_w"), F.array().cast("array<struct<window_start: timestamp, hits: bigint>>"), lambda acc, x: F.when((F.size(acc) == 0) | (F.unix_seconds(x["window_start"]) - F.unix_seconds(F.element_at(acc, -1)["window_start"]) >= cooldown), F.concat(acc, F.array(x))).otherwise(acc))
+    return hot.groupBy(key).agg(spots.alias("_w")).select(key, F.explode(kept).alias("x")).select(key, "x.window_start", "x.hits", F.lit("copy" if mode == "enforce" else "observe").alias("action"))
+
+
 def heated(hits: DataFrame, key: str, ts: str, seconds: int, qps: float) -> DataFrame:
     """LS8: keys hit at least qps x seconds times in an aligned window of `seconds`, with the window's start."""
     w = F.window(F.col(ts).cast("timestamp"), f"{seconds} seconds")

@@ -6,18 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kvloom.operators.ranks import ranked
+
 
 def gather(requests: DataFrame, tables: DataFrame, rows_per_head: int) -> DataFrame:
-    """JN3: requests (b, l, head, row_id) -> their vectors (head, row_id, vec). One id out of range voids the whole call (no rows)."""
-    bad = requests.agg(F.count_if((F.col("row_id") < 0) | (F.col("row_id") >= rows_per_head)).alias("_bad"))
-    return requests.join(tables, ["head", "row_id"]).crossJoin(F.broadcast(bad)).where("_bad = 0").select("b", "l", "head", "row_id", "vec")
+    """JN3: requests (b, l, head, row_id) -> their vectors (b, l, head, row_id, vec), one row a request.
+
+    One id that is null, out of range or not in its head's table fails the whole call: every vector is zero then.
+    """
+    number = tables.schema["vec"].dataType.elementType
+    bad = requests.agg(F.count_if(F.col("row_id").isNull() | (F.col("row_id") < 0) | (F.col("row_id") >= rows_per_head)).alias("_bad"))
+    absent = requests.join(tables.select("head", "row_id"), ["head", "row_id"], "left_anti").agg(F.count("*").alias("_absent"))
+    size = tables.agg(F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("_dim"))
+    checked = bad.crossJoin(absent).crossJoin(size).select(F.when(F.col("_bad") + F.col("_absent") > 0, F.array_repeat(F.lit(0).cast(number), F.col("_dim"))).alias("_zero"))
+    got = requests.join(tables, ["head", "row_id"], "left").crossJoin(F.broadcast(checked))
+    return got.select("b", "l", "head", "row_id", F.coalesce("_zero", "vec").alias("vec"))
 
 
 def dispatch(tokens: DataFrame) -> DataFrame:
     """JN9: tokens (rank, token, topk_idx) -> (expert, slot, rank, token): rows packed per expert by source rank, then token; -1 is masked."""
     e = tokens.select("rank", "token", F.explode("topk_idx").alias("expert")).where("expert >= 0")
-    w = Window.partitionBy("expert").orderBy("rank", "token")
-    return e.withColumn("slot", (F.row_number().over(w) - 1).cast("long"))
+    return ranked(e, ["expert"], [F.col("rank"), F.col("token")], "slot")
 
 
 def dispatch_layout(tokens: DataFrame) -> DataFrame:
@@ -54,10 +63,9 @@ def allreduce(parts: DataFrame, group: list[str], vector: str, op: str) -> DataF
 
 
 def allgather(parts: DataFrame, rank: str, vector: str) -> DataFrame:
-    """AGG12: all ranks' elements in rank order: (place, value)."""
-    sizes = parts.select(rank, F.size(vector).alias("_n"))
-    before = sizes.select(rank, (F.sum("_n").over(Window.orderBy(rank)) - F.col("_n")).alias("_before"))
-    return parts.join(F.broadcast(before), rank).select("_before", F.posexplode(vector).alias("_i", "value")).select((F.col("_before") + F.col("_i")).alias("place"), "value")
+    """AGG12: all ranks' elements in rank order: (place, value). Places follow from running sums over range partitions."""
+    placed = ranked(parts.select(rank, F.col(vector).alias("_v")), [], [F.col(rank)], "_rank", None, {"_end": F.size("_v")})
+    return placed.select((F.col("_end") - F.size("_v")).alias("_before"), F.posexplode("_v").alias("_i", "value")).select((F.col("_before") + F.col("_i")).alias("place"), "value")
 
 
 def reduce_scatter(parts: DataFrame, rank: str, vector: str, ranks: int) -> DataFrame:

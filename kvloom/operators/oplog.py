@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,13 +32,44 @@ def event_index(events: DataFrame, stream: list[str], item: str, seq: str = "eve
 def heat_windows(hits: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     """ST4: tumbling windows with an origin of each key's own: the first hit after expiry opens the next one.
 
-    Sequential in a key by definition, so each key's times are folded in one row.
+    Sequential in a key by definition, so each key's distinct times, counted before they move, are folded in one row:
+    the fold notes where windows open, so its time is linear in a key's times.
     """
-    at = F.col(ts).cast("timestamp")
-    times = F.array_sort(F.collect_list(F.unix_micros(at)))
-    step = lambda acc, t: F.when((F.size(acc) == 0) | (t >= F.element_at(acc, -1)["start"] + seconds * 1_000_000), F.concat(acc, F.array(F.struct(t.alias("start"), F.lit(1).alias("hits"))))).otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), (F.element_at(acc, -1)["hits"] + 1).alias("hits")))))
-    empty = F.array().cast("array<struct<start: bigint, hits: int>>")
-    return hits.groupBy(key).agg(times.alias("_t")).select(key, F.explode(F.aggregate("_t", empty, step)).alias("w")).select(key, F.col("w.start").alias("start_us"), F.col("w.hits").cast("long").alias("hits"))
+    times = hits.groupBy(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).agg(F.count("*").alias("n"))
+    ordered = times.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "n"))).alias("_t"))
+    start = F.struct(F.lit(None).cast("bigint").alias("open"), F.lit(0).cast("bigint").alias("seen"), F.array().cast("array<struct<start: bigint, before: bigint>>").alias("windows"))
+
+    def step(acc, x):
+        opens = acc["open"].isNull() | (x["t"] >= acc["open"] + seconds * 1_000_000)
+        more = F.concat(acc["windows"], F.array(F.struct(x["t"].alias("start"), acc["seen"].alias("before"))))
+        return F.struct(F.when(opens, x["t"]).otherwise(acc["open"]).alias("open"), (acc["seen"] + x["n"]).alias("seen"), F.when(opens, more).otherwise(acc["windows"]).alias("windows"))
+
+    folded = ordered.select(key, F.aggregate("_t", start, step).alias("r"))
+    w, total = F.col("r.windows"), F.col("r.seen")
+    each = F.transform(w, lambda x, i: F.struct(x["start"].alias("start"), (F.coalesce(F.get(w, i + 1)["before"], total) - x["before"]).alias("hits")))
+    return folded.select(key, F.explode(each).alias("w")).select(key, F.col("w.start").alias("start_us"), F.col("w.hits").alias("hits"))
+
+
+def published(events: DataFrame, order: str, tick: Column, batch: int, capacity: int) -> DataFrame:
+    """SRC8: events with the number they are published under (event_id, monotone) and their batch of at most `batch`.
+
+    A queue of `capacity` is emptied at each tick: of a tick's events the oldest beyond it are dropped, which leaves
+    a gap in event_id that `catalog.gaps_of` finds.
+    """
+    from kvloom.operators.ranks import ranked
+
+    numbered = ranked(events.withColumn("_tick", tick), [], [F.col(order)], "event_id")
+    last = ranked(numbered, ["_tick"], [F.col(order).desc()], "_age", "_of").where(F.col("_age") < capacity)
+    place = F.least(F.col("_of"), F.lit(capacity)) - 1 - F.col("_age")
+    return last.withColumns({"tick": F.col("_tick"), "batch_no": F.floor(place / batch)}).drop("_tick", "_age", "_of")
+
+
+def retries(candidates: DataFrame, at: str, first_ms: int = 10, most_ms: int = 1000, most: int = 8, ttl_ms: int = 60_000) -> DataFrame:
+    """ST5: when candidates (at: milliseconds) are tried again: delays double from first_ms to most_ms, `most` times at most within ttl_ms."""
+    delays = [min(first_ms << i, most_ms) for i in range(most)]
+    waits = [sum(delays[: i + 1]) for i in range(most)]
+    plan = F.array(*[F.struct(F.lit(i + 1).alias("retry"), F.lit(w).cast("long").alias("wait")) for i, w in enumerate(waits) if w <= ttl_ms])
+    return candidates.withColumn("_r", F.explode(plan)).select(*candidates.columns, F.col("_r.retry").alias("retry"), (F.col(at) + F.col("_r.wait")).alias("retry_at"))
 
 
 def liveness(pings: DataFrame, client: str, ts: str, now, ttl_seconds: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kvloom.operators.ranks import ranked, top_per_group
+
 
 def select_replica(replicas: DataFrame, key: str, endpoint_score: Column | None = None) -> DataFrame:
     """JN8: per key the best complete replica (its id and kind); keys without one are left out.
@@ -27,13 +29,17 @@ def first_rule(requests: DataFrame, rules: DataFrame, request: str) -> DataFrame
 
     requests: request, segment_type, locality, size, priority; rules: rule_no, transport and the predicates
     segment_type, locality, min_size, max_size (inclusive), priority, each null where absent. Rules are a short
-    configuration list, so every request looks at each.
+    configuration list, read by the driver, that becomes one CASE: requests aren't joined with anything.
     """
-    r = F.broadcast(rules.select("rule_no", "transport", *[F.col(c).alias(f"_{c}") for c in ("segment_type", "locality", "min_size", "max_size", "priority")]))
-    absent_or = lambda c, test: F.col(f"_{c}").isNull() | test
-    on = absent_or("segment_type", F.col("_segment_type") == F.col("segment_type")) & absent_or("locality", F.col("_locality") == F.col("locality")) & absent_or("min_size", F.col("size") >= F.col("_min_size")) & absent_or("max_size", F.col("size") <= F.col("_max_size")) & absent_or("priority", F.col("_priority") == F.col("priority"))
-    matched = requests.join(r, on, "left").groupBy(request).agg(F.min(F.struct("rule_no", "transport")).alias("_m"))
-    return matched.select(request, F.col("_m.rule_no").alias("rule_no"), F.coalesce(F.col("_m.transport"), F.lit("unspecified")).alias("transport"))
+    tests = {"segment_type": lambda v: F.col("segment_type") == v, "locality": lambda v: F.col("locality") == v, "min_size": lambda v: F.col("size") >= v, "max_size": lambda v: F.col("size") <= v, "priority": lambda v: F.col("priority") == v}
+    rule = F.when(F.lit(False), F.struct(F.lit(0).cast(rules.schema["rule_no"].dataType).alias("rule_no"), F.lit("").alias("transport")))
+    for r in rules.orderBy("rule_no").collect():
+        holds = F.lit(True)
+        for name, test in tests.items():
+            if r[name] is not None:
+                holds = holds & test(r[name])
+        rule = rule.when(holds, F.struct(F.lit(r["rule_no"]).cast(rules.schema["rule_no"].dataType).alias("rule_no"), F.lit(r["transport"]).alias("transport")))
+    return requests.withColumn("_m", rule).select(request, F.col("_m.rule_no").alias("rule_no"), F.coalesce(F.col("_m.transport"), F.lit("unspecified")).alias("transport"))
 
 
 def free_ratio(segments: DataFrame) -> DataFrame:
@@ -42,13 +48,21 @@ def free_ratio(segments: DataFrame) -> DataFrame:
     return s.select("segment", F.coalesce(F.try_divide((F.col("capacity") - F.col("used")).cast("double"), F.col("capacity")), F.lit(0.0)).alias("free_ratio"), (F.col("capacity") > 0).alias("counted"))
 
 
-def place(objects: DataFrame, segments: DataFrame, object_id: str, replicas: int) -> DataFrame:
+def draw(*parts: Column | str) -> Column:
+    """A number below 2**52 from the MD5 of the parts: the same in every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]).cast("binary")), 1, 13), 16, 10).cast("long")
+
+
+def place(objects: DataFrame, segments: DataFrame, object_id: str, replicas: int, score: Column | None = None, excluded: tuple[str, ...] = ()) -> DataFrame:
     """TK1 without sampling: distinct segments for each object: preferred ones in their order, then by free ratio (ties by name).
 
-    objects: object_id, preferred (array of segment names); segments: segment, free_ratio. The ranking by ratio is
-    the same for all objects, so only its head of replicas + (longest preferred list) is looked at. Fewer segments
-    than asked give fewer rows (best effort).
+    objects: object_id, preferred (array of segment names); segments: segment, free_ratio, or what `score` (UD2; the
+    higher the better) is worked out from. Excluded segments are never chosen. The ranking is the same for all
+    objects, so only its head of replicas + (longest preferred list) is looked at. Fewer segments than asked give
+    fewer rows (best effort).
     """
+    segments = segments.where(~F.col("segment").isin(*excluded)) if excluded else segments
+    segments = segments if score is None else segments.withColumn("free_ratio", score)
     longest = objects.agg(F.max(F.size("preferred"))).first()[0] or 0
     head = segments.orderBy(F.col("free_ratio").desc(), "segment").limit(replicas + max(longest, 0))
     order = F.array_sort(F.collect_list(F.struct((-F.col("free_ratio")).alias("r"), "segment")))
@@ -62,17 +76,18 @@ def place(objects: DataFrame, segments: DataFrame, object_id: str, replicas: int
 
 
 def place_random(objects: DataFrame, segments: DataFrame, object_id: str, replicas: int, seed: int) -> DataFrame:
-    """TK2: contiguous segments by name from a start drawn by a seeded hash of the object."""
-    names = F.broadcast(segments.agg(F.array_sort(F.collect_set("segment")).alias("_names")))
-    n = F.size("_names")
-    start = F.pmod(F.xxhash64(object_id, F.lit(seed)), n)
-    at = F.transform(F.sequence(F.lit(0), F.least(F.lit(replicas), n) - 1), lambda i: F.get("_names", ((start + i) % n).cast("int")))
-    return objects.select(object_id).crossJoin(names).where(n > 0).select(object_id, F.posexplode(at).alias("replica", "segment"))
+    """TK2: contiguous segments by name from a start drawn by a seeded hash of the object; segments are joined by number."""
+    numbered = ranked(segments.select("segment").distinct(), [], [F.col("segment")], "_at", "_of")
+    n = F.broadcast(numbered.agg(F.max("_of").alias("_n")))
+    each = objects.select(object_id).crossJoin(n).where("_n > 0").select(object_id, "_n", F.explode(F.sequence(F.lit(0), F.least(F.lit(replicas).cast("long"), "_n").cast("int") - 1)).alias("replica"))
+    at = F.pmod(draw(object_id, F.lit(seed)) + F.col("replica"), F.col("_n"))
+    return each.withColumn("_at", at).join(numbered.select("_at", "segment"), "_at").select(object_id, "replica", "segment")
 
 
 def place_local_first(objects: DataFrame, segments: DataFrame, object_id: str, host: str, replicas: int) -> DataFrame:
     """TK3: segments of the object's own host first, then as `place` ranks them. objects: object_id, host; segments: segment, host, free_ratio."""
-    local = segments.groupBy(host).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("free_ratio")).alias("r"), "segment"))), lambda x: x["segment"]).alias("preferred"))
+    best = top_per_group(segments, [host], [F.col("free_ratio").desc(), F.col("segment")], replicas, "_r")
+    local = best.groupBy(host).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "segment"))), lambda x: x["segment"]).alias("preferred"))
     own = objects.join(local, host, "left").select(object_id, F.coalesce("preferred", F.array().cast("array<string>")).alias("preferred"))
     return place(own, segments, object_id, replicas)
 
@@ -90,7 +105,7 @@ def pick_nic(candidates: DataFrame, request: str) -> DataFrame:
 
 def route(tokens: DataFrame, token: str, experts: int, k: int, seed: int, zipf: float = 0.0) -> DataFrame:
     """TK7: k distinct experts a token by Gumbel top-k over uniform (zipf 0) or Zipf weights; seeded by token and expert."""
-    u = (F.pmod(F.xxhash64(token, "expert", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    u = (draw(token, "expert", F.lit(seed)) + 0.5) / float(1 << 52)
     each = tokens.select(token, F.explode(F.sequence(F.lit(0), F.lit(experts - 1))).alias("expert"))
     scored = each.withColumn("_g", -F.log(-F.log(u)) - zipf * F.log(F.col("expert") + 1.0))
     w = Window.partitionBy(token).orderBy(F.col("_g").desc(), "expert")

@@ -153,3 +153,23 @@ def conforms(df: DataFrame, hints: dict[str, bool]) -> DataFrame:
     strict = [c for c, nullable in hints.items() if not nullable]
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in strict])
     return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("nulls")) for c in strict])).alias("x")).select("x.column", "x.nulls").where("nulls > 0")
+
+
+def leaf_codecs(df: DataFrame, column: str) -> DataFrame:
+    """NS1/NS2 over a JSON text column: (path, n, nulls, codec) of each top-level field, found in all rows by the executors.
+
+    Codec by priority: numbers (array of numbers), number, boolean, text, json for records, mixed lists and mixed types;
+    null where a field is always null.
+    """
+    made = df.select(F.parse_json(column).alias("_j")).lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_j").outer()))
+    made = made.select(F.col("key").alias("path"), F.schema_of_variant("value").alias("_t"))
+    number, t = r"(BIGINT|DOUBLE|FLOAT|DECIMAL\([0-9,]+\))", F.col("_t")
+    kind = F.when(t == "VOID", None).when(t.rlike(rf"^ARRAY<({number}|VOID)>$"), "numbers").when(t.rlike(rf"^{number}$"), "number").when(t == "BOOLEAN", "boolean").when(t == "STRING", "text").otherwise("json")
+    each = made.select("path", kind.alias("kind")).groupBy("path", "kind").agg(F.count("*").alias("n"))
+    codec = F.when(F.count("kind") > 1, "json").otherwise(F.max("kind"))
+    return each.groupBy("path").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("kind").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), codec.alias("codec"))
+
+
+def accesses(requests: DataFrame, layout) -> DataFrame:
+    """UD4: what a layout makes of each request: rows of an array of structs that `layout(requests' columns)` gives."""
+    return requests.select(*requests.columns, F.inline(layout(F.col)))

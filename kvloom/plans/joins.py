@@ -90,7 +90,7 @@ def agg8_box_cover(spark, d):
 
 @BOOK.add(
     "agg9_merge",
-    f"""WITH {_RANGES}, n AS (SELECT *, CASE WHEN b > max(e) OVER w THEN 1 WHEN max(e) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM i WINDOW w AS (PARTITION BY s ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), g AS (SELECT *, sum(new) OVER (PARTITION BY s ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS island FROM n) SELECT s, min(b) AS b, max(e) AS e FROM g GROUP BY s, island""",
+    f"""WITH {_RANGES.replace('SELECT l_suppkey', 'SELECT DISTINCT l_suppkey')}, n AS (SELECT *, CASE WHEN b > max(e) OVER w THEN 1 WHEN max(e) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM i WINDOW w AS (PARTITION BY s ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), g AS (SELECT *, sum(new) OVER (PARTITION BY s ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS island FROM n) SELECT s, min(b) AS b, max(e) AS e FROM g GROUP BY s, island""",
 )
 def agg9_merge(spark, d):
     return boxes.merged_intervals(_ranges(spark, d), ["s"], "b", "e")
@@ -174,19 +174,37 @@ def tk1_free_ratio_first(spark, d):
     return placement.place(o, placement.free_ratio(segments(spark, d)), "o_orderkey", 3)
 
 
-@BOOK.add("tk2_random_placement")
+_DRAW = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT)"
+
+
+@BOOK.add("tk2_random_placement", f"WITH {_SEG}, n AS (SELECT segment, row_number() OVER (ORDER BY segment) - 1 AS at, count(*) OVER () AS n FROM (SELECT DISTINCT segment FROM g)), o AS (SELECT o_orderkey, replica, {_DRAW.format("o_orderkey || '/7'")} + replica AS x FROM orders, (VALUES (0), (1)) v(replica)) SELECT o_orderkey, replica, segment FROM o JOIN n ON n.at = o.x % n.n")
 def tk2_random_placement(spark, d):
-    """Random by contract: only rows are checked."""
     return placement.place_random(table(spark, d, "orders").select("o_orderkey"), segments(spark, d), "o_orderkey", 2, 7)
 
 
-@BOOK.add("tk3_local_first")
+@BOOK.add(
+    "tk3_local_first",
+    f"""WITH {_SEG}, f AS (SELECT segment, CASE WHEN sum(capacity) = 0 THEN 0 ELSE (sum(capacity) - sum(used))::DOUBLE / sum(capacity)::DOUBLE END AS free_ratio, 'h' || (CAST(substr(segment, 2) AS INT) % 5) AS host FROM g GROUP BY 1),
+    h AS (SELECT *, row_number() OVER (ORDER BY free_ratio DESC, segment) AS r, row_number() OVER (PARTITION BY host ORDER BY free_ratio DESC, segment) AS own FROM f), c AS (SELECT o_orderkey, segment, CASE WHEN h.host = 'h' || (o_custkey % 6) THEN 0 ELSE 1 END AS away, r FROM orders, h WHERE r <= 4 OR (own <= 2 AND h.host = 'h' || (o_custkey % 6))),
+    k AS (SELECT o_orderkey, segment, row_number() OVER (PARTITION BY o_orderkey ORDER BY away, r) - 1 AS replica FROM c) SELECT * FROM k WHERE replica < 2""",
+)
 def tk3_local_first(spark, d):
     free = placement.free_ratio(segments(spark, d)).withColumn("host", F.concat(F.lit("h"), (F.substring("segment", 2, 9).cast("int") % 5).cast("string")))
     o = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("h"), (F.col("o_custkey") % 6).cast("string")).alias("host"))
     return placement.place_local_first(o, free, "o_orderkey", "host", 2)
 
 
+@BOOK.add(
+    "ud2_scored_placement",
+    f"WITH {_SEG}, f AS (SELECT segment, sum(capacity) AS score FROM g WHERE segment NOT IN ('s1', 's2') GROUP BY 1), r AS (SELECT segment, row_number() OVER (ORDER BY score DESC, segment) - 1 AS replica FROM f) SELECT o_orderkey, replica, segment FROM orders, r WHERE replica < 2",
+)
+def ud2_scored_placement(spark, d):
+    """A score of the caller's, here the capacity, and two segments left out."""
+    s = segments(spark, d).groupBy("segment").agg(F.sum("capacity").alias("capacity"))
+    o = table(spark, d, "orders").select("o_orderkey", F.array().cast("array<string>").alias("preferred"))
+    return placement.place(o, s, "o_orderkey", 2, F.col("capacity").cast("double"), ("s1", "s2"))
+
+
 @BOOK.add("tk4_oldest_ten_percent", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn <= (SELECT ceil(0.1::DOUBLE * count(*)) FROM orders)")
 def tk4_oldest_ten_percent(spark, d):
     from kvloom.operators.ranks import ranked
@@ -206,9 +224,8 @@ def tk6_nic_pick(spark, d):
     return placement.pick_nic(c, "request").withColumns({"score": F.round("score", 8), "share": F.round("share", 8)})
 
 
-@BOOK.add("tk7_routing")
+@BOOK.add("tk7_routing", f"WITH e AS (SELECT vec_id AS token, unnest(range(0, 16)) AS expert FROM embeddings), s AS (SELECT token, expert, ({_DRAW.format("token || '/' || expert || '/11'")} + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM e), r AS (SELECT token, CAST(expert AS INT) AS expert, row_number() OVER (PARTITION BY token ORDER BY -ln(-ln(u)) - ln(expert + 1.0::DOUBLE) DESC, expert) AS rank FROM s) SELECT * FROM r WHERE rank <= 2")
 def tk7_routing(spark, d):
-    """Seeded draws: only rows are checked."""
     return placement.route(table(spark, d, "embeddings").select(F.col("vec_id").alias("token")), "token", 16, 2, 11, 1.0)
 
 
@@ -270,16 +287,16 @@ for _op, _sql in (("sum", "round(sum(v), 5)"), ("min", "min(v)"), ("max", "max(v
         return r.withColumn("value", F.round("value", 5)) if op == "sum" else r
 
 
-@BOOK.add("agg11_allreduce_product", "WITH x AS (SELECT label, unnest(range(0, 8)) AS dim, unnest(embedding[1:8])::DOUBLE AS v FROM embeddings WHERE vec_id < 40) SELECT label, CAST(dim AS INT) AS dim, round(product(v), 9) AS value FROM x GROUP BY 1, 2")
+@BOOK.add("agg11_allreduce_product", "WITH x AS (SELECT label, unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT label, CAST(dim AS INT) AS dim, round(product(1 + v / 1000), 7) AS value FROM x GROUP BY 1, 2")
 def agg11_allreduce_product(spark, d):
-    """Products of few ranks only, as products of many vanish or overflow."""
-    e = table(spark, d, "embeddings").where("vec_id < 40").select("label", F.slice("embedding", 1, 8).alias("v"))
-    return moe.allreduce(e, ["label"], "v", "PRODUCT").withColumn("value", F.round("value", 9))
+    """Factors near 1, as products of many small numbers vanish."""
+    e = table(spark, d, "embeddings").select("label", F.transform("embedding", lambda v: 1 + v.cast("double") / 1000).alias("v"))
+    return moe.allreduce(e, ["label"], "v", "PRODUCT").withColumn("value", F.round("value", 7))
 
 
-@BOOK.add("agg12_allgather", "WITH x AS (SELECT vec_id, unnest(range(0, 4)) AS i, unnest(embedding[1:4])::DOUBLE AS value FROM embeddings) SELECT (row_number() OVER (ORDER BY vec_id, i) - 1) AS place, value FROM x")
+@BOOK.add("agg12_allgather", "WITH x AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS value FROM embeddings) SELECT (row_number() OVER (ORDER BY vec_id, i) - 1) AS place, value FROM x")
 def agg12_allgather(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("v"))
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return moe.allgather(e, "vec_id", "v")
 
 
@@ -294,12 +311,20 @@ def agg12_alltoall(spark, d):
     return moe.alltoall(o, "src", "dst")
 
 
-@BOOK.add("jn3_gather", "SELECT e.event_id AS b, CAST(e.user_id % 3 AS BIGINT) AS l, m.label AS head, m.vec_id AS row_id, round(list_sum(m.embedding::DOUBLE[]), 5) AS total FROM events e JOIN embeddings m ON m.vec_id = e.event_id % 100")
+@BOOK.add("jn3_gather", "WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT e.event_id AS b, CAST(e.user_id % 3 AS BIGINT) AS l, m.label AS head, m.vec_id AS row_id, round(list_sum(m.embedding::DOUBLE[]), 5) AS total FROM events e, n JOIN embeddings m ON m.vec_id = e.event_id % n.n")
 def jn3_gather(spark, d):
     m = table(spark, d, "embeddings").select(F.col("label").alias("head"), F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
-    heads = m.select("head", "row_id").where("row_id < 100")
-    r = table(spark, d, "events").select(F.col("event_id").alias("b"), (F.col("user_id") % 3).alias("l"), (F.col("event_id") % 100).alias("row_id")).join(heads, "row_id")
-    return moe.gather(r, m, 100).select("b", "l", "head", "row_id", F.round(moe.vector_sum(F.col("vec")), 5).alias("total"))
+    n = m.count()
+    r = table(spark, d, "events").select(F.col("event_id").alias("b"), (F.col("user_id") % 3).alias("l"), (F.col("event_id") % n).alias("row_id")).join(m.select("head", "row_id"), "row_id")
+    return moe.gather(r, m, n).select("b", "l", "head", "row_id", F.round(moe.vector_sum(F.col("vec")), 5).alias("total"))
+
+
+@BOOK.add("jn3_gather_out_of_range", "SELECT event_id AS b, 0.0::DOUBLE AS total FROM events")
+def jn3_gather_out_of_range(spark, d):
+    """One id beyond the table zeroes the whole output."""
+    m = table(spark, d, "embeddings").select(F.lit(0).alias("head"), F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
+    r = table(spark, d, "events").select(F.col("event_id").alias("b"), F.lit(0).alias("l"), F.lit(0).alias("head"), F.when(F.col("event_id") == 17, -1).otherwise(0).cast("long").alias("row_id"))
+    return moe.gather(r, m, 1).select("b", moe.vector_sum(F.col("vec")).alias("total"))
 
 
 def _log(spark, d):
@@ -374,3 +399,42 @@ def sc_scalars(spark, d):
         "p_partkey", scalar.key_to_u64(F.when(k % 3 == 0, k.cast("string")).otherwise(F.concat(k.cast("string"), F.lit("x")))).cast("string").alias("parsed"), scalar.fixed_width_key(F.col("p_name"), k, 6).alias("fixed_key"),
         scalar.escape_path(F.concat("p_brand", F.lit("."), "p_name", F.lit("[0]\\"))).alias("escaped"), scalar.format_bytes(k).alias("size_text"), scalar.parse_size(F.concat(F.col("p_size").cast("string"), F.lit("k"))).alias("size_bytes"),
     )
+
+
+@BOOK.add(
+    "sc_more_scalars",
+    """SELECT p_partkey, p_partkey * ((512 + 64 + 128) * 2 * 61) AS page_bytes, CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 8 END AS element_bytes, p_partkey || '-' || p_size AS uuid, CAST(p_partkey AS VARCHAR) AS high, CAST(p_size AS VARCHAR) AS low, p_partkey % 2 = 0 AND p_partkey % 1000 <> 0 AS newer,
+    replace(replace(p_name || '"\\', '\\', '\\\\'), '"', '\\"') AS label, CAST('0x' || substr(md5(p_name), 1, 8) AS BIGINT) % 8 AS shard, p_partkey % 2 = 0 AS sound FROM part""",
+)
+def sc_more_scalars(spark, d):
+    p, k, size = table(spark, d, "part"), F.col("p_partkey"), F.col("p_size")
+    high, low = scalar.uuid_parts(scalar.uuid_text(k, size))
+    # a number after the wrap of 2**64 comes after one before it
+    late = F.when(k % 1000 == 0, k).when(k % 2 == 0, k + 5).otherwise(F.lit("18446744073709551000").cast("decimal(20,0)") - k)
+    return p.select(
+        "p_partkey", scalar.page_bytes(k, 512, 64, 128, 2, 61).alias("page_bytes"), scalar.element_bytes(F.element_at(F.array(F.lit("fp8"), F.lit("bf16"), F.lit("int64")), size % 3 + 1)).alias("element_bytes"), scalar.uuid_text(k, size).alias("uuid"), high.cast("string").alias("high"), low.cast("string").alias("low"),
+        scalar.sequence_newer(late, k).alias("newer"), scalar.escape_label(F.concat("p_name", F.lit('"\\'))).alias("label"), scalar.shard_of(F.col("p_name"), 8).alias("shard"), scalar.payload_valid(F.col("p_name"), F.crc32(F.concat("p_name", F.when(k % 2 == 0, "").otherwise("x")).cast("binary"))).alias("sound"),
+    )
+
+
+@BOOK.add("sc7_box_geometry", "SELECT p_partkey, CAST(p_size * (p_size % 9 + 1) * 3 AS BIGINT) AS volume, CAST((p_size // 2 * (p_size % 9 + 1) + p_size % 9) * 3 + 2 AS BIGINT) AS place FROM part")
+def sc7_box_geometry(spark, d):
+    size = F.col("p_size").cast("long")
+    shape = F.array(size, size % 9 + 1, F.lit(3).cast("long"))
+    return table(spark, d, "part").select("p_partkey", boxes.volume(shape).alias("volume"), boxes.row_major_offset(F.array(F.floor(size / 2), size % 9, F.lit(2).cast("long")), shape).alias("place"))
+
+
+@BOOK.add(
+    "src8_published_events",
+    """WITH n AS (SELECT event_id AS source_id, row_number() OVER (ORDER BY event_id) - 1 AS event_id, epoch_us(ts) // 21600000000 AS tick FROM events), a AS (SELECT *, row_number() OVER (PARTITION BY tick ORDER BY source_id DESC) - 1 AS age, count(*) OVER (PARTITION BY tick) AS n FROM n)
+    SELECT source_id, event_id, tick, (least(n, 5) - 1 - age) // 2 AS batch_no FROM a WHERE age < 5""",
+)
+def src8_published_events(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("source_id"), "ts")
+    return oplog.published(e, "source_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 21_600_000_000), 2, 5).select("source_id", "event_id", "tick", "batch_no")
+
+
+@BOOK.add("st5_candidate_retries", "WITH w AS (SELECT i AS retry, w FROM (VALUES (1, 10), (2, 30), (3, 70), (4, 150), (5, 310), (6, 630), (7, 1270), (8, 2270)) v(i, w)) SELECT event_id, retry, epoch_us(ts) // 1000 + w AS retry_at FROM events, w")
+def st5_candidate_retries(spark, d):
+    e = table(spark, d, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return oplog.retries(e, "at").drop("at")

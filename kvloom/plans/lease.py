@@ -77,6 +77,11 @@ def ls5_bucket_fifo(spark, d):
     return lease.evict_buckets(_buckets(spark, d), 50_000_000, lru=False)
 
 
+@BOOK.add("ls5_three_limits", f"WITH {_B.replace('CAST(o_totalprice AS BIGINT)', 'CAST(round(o_totalprice) AS BIGINT)')}, r AS (SELECT *, size * 2 AS disk, sum(size) OVER (ORDER BY last_access, bucket_id) - size AS before FROM b) SELECT bucket_id, size, disk FROM r WHERE before < 20000000 OR before * 2 < 50000000 ORDER BY last_access, bucket_id LIMIT 1000")
+def ls5_three_limits(spark, d):
+    return lease.evict_to_limits(_buckets(spark, d).withColumn("disk", F.col("size") * 2), 20_000_000, 50_000_000, 30_000_000)
+
+
 @BOOK.add("ls6_lru_list", "SELECT user_id, max(event_id) AS at FROM events GROUP BY 1 ORDER BY 2 DESC LIMIT 50")
 def ls6_lru_list(spark, d):
     return lease.list_order(table(spark, d, "events"), "user_id", "event_id", 50)
@@ -93,6 +98,34 @@ def ls7_promotion(spark, d):
     return lease.promoted(e, ["tenant_id", "k"], 2)
 
 
+@BOOK.add("ls7_promotion_queue", "WITH h AS (SELECT user_id % 5 AS tenant_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_id, row_number() OVER (PARTITION BY user_id % 5, CAST(json_extract_string(props, '$.k') AS INT) ORDER BY event_id) AS n FROM events WHERE event_type = 'view') SELECT tenant_id, k, event_id AS queued_at FROM h WHERE n = 2 ORDER BY event_id LIMIT 40")
+def ls7_promotion_queue(spark, d):
+    e = table(spark, d, "events").where("event_type = 'view'").select((F.col("user_id") % 5).alias("tenant_id"), F.get_json_object("props", "$.k").cast("int").alias("k"), "event_id")
+    return lease.promotion_queue(e, "tenant_id", "k", "event_id", 2, 40)
+
+
+@BOOK.add(
+    "agg18_count_min",
+    """WITH h AS (SELECT user_id AS k, (row_number() OVER (ORDER BY event_id) - 1) // 256 AS e FROM events), s AS (SELECT r AS row, CAST('0x' || substr(md5(r || '/' || k), 1, 8) AS BIGINT) % 64 AS slot, e, k FROM h, (VALUES (0), (1), (2), (3)) v(r)), n AS (SELECT row, slot, e, count(*) AS n FROM s GROUP BY ALL),
+    t AS (SELECT row, slot, unnest(range(0, (SELECT count(*) // 256 + 1 FROM events))) AS e FROM (SELECT DISTINCT row, slot FROM s)), l AS (SELECT row, slot, list(coalesce(n, 0) ORDER BY e) AS xs FROM t LEFT JOIN n USING (row, slot, e) GROUP BY ALL),
+    c AS (SELECT row, slot, least(31, list_reduce(list_concat([0], xs[:-2]), lambda c, n: least(31, c + n) // 2) + xs[-1]) AS c FROM l) SELECT k AS user_id, min(c) AS estimate FROM (SELECT DISTINCT row, slot, k FROM s) JOIN c USING (row, slot) GROUP BY 1""",
+)
+def agg18_count_min(spark, d):
+    """Small counters and few slots, so that saturation, halving and collisions all happen."""
+    return lease.count_min(table(spark, d, "events"), "user_id", "event_id", 64, 4, 31)
+
+
+@BOOK.add(
+    "ls8_copy_proposals",
+    """WITH w AS (SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts) AS s, count(*) AS hits, min(ts) AS f FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY f, user_id) AS rn FROM w), h AS (SELECT * FROM r WHERE rn <= 20 AND hits >= 2 AND user_id % 10 <> 3)
+    SELECT user_id, epoch_ms(s) AS at, hits, 'copy' AS action FROM h""",
+)
+def ls8_copy_proposals(spark, d):
+    e = table(spark, d, "events")
+    held = e.select("user_id", F.when(F.col("user_id") % 10 == 3, 3).otherwise(1).alias("n")).distinct()
+    return lease.copy_proposals(e, "user_id", "ts", 21600, 2 / 21600, "enforce", held, 3, 20, 21600).select("user_id", F.unix_millis("window_start").alias("at"), "hits", "action")
+
+
 @BOOK.add("ls8_heat_aligned", "SELECT user_id, epoch_ms(time_bucket(INTERVAL 6 HOUR, ts)) AS at, count(*) AS hits FROM events GROUP BY 1, time_bucket(INTERVAL 6 HOUR, ts) HAVING count(*) >= 2")
 def ls8_heat_aligned(spark, d):
     return lease.heated(table(spark, d, "events"), "user_id", "ts", 21600, 2 / 21600).select("user_id", F.unix_millis("window_start").alias("at"), "hits")

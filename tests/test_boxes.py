@@ -68,4 +68,6 @@ def test_gather_fails_whole(spark):
     tables = spark.createDataFrame([(0, i, [float(i)]) for i in range(3)], "head int, row_id int, vec array<double>")
     good = spark.createDataFrame([(0, 0, 0, 1), (0, 1, 0, 2)], "b int, l int, head int, row_id int")
     assert moe.gather(good, tables, 3).count() == 2
-    assert moe.gather(good.union(spark.createDataFrame([(0, 2, 0, 3)], good.schema)), tables, 3).count() == 0
+    for bad in ((0, 2, 0, 3), (0, 2, 0, -1), (0, 2, 0, None), (0, 2, 9, 1)):
+        out = moe.gather(good.union(spark.createDataFrame([bad], good.schema)), tables, 3).collect()
+        assert len(out) == 3 and all(x == 0 for r in out for x in r["vec"])

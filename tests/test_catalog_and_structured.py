@@ -52,6 +52,8 @@ def test_append_rejects_collisions(spark):
     with pytest.raises(ValueError):
         catalog.append_columns(a, a)
     assert catalog.append_columns(a, spark.createDataFrame([(0, 7)], "row_id int, x int"), overwrite=True).first()["x"] == 7
+    with pytest.raises(Exception, match="row on one side only"):
+        catalog.append_columns(a, spark.createDataFrame([(0, 7), (1, 8)], "row_id int, y int")).collect()
 
 
 @pytest.mark.parametrize(
@@ -152,3 +154,14 @@ def test_ranks_over_a_hot_group(spark):
 def test_tags_new_win(spark):
     m = spark.range(1).select(catalog.merged_tags(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.create_map(F.lit("b"), F.lit(3))).alias("m")).first()["m"]
     assert m == {"a": 1, "b": 3}
+
+
+def test_leaf_codecs(spark):
+    rows = ['{"a": 1, "b": "12", "c": [1, 2.5], "d": {"x": 1}, "e": null, "f": true, "g": 1}', '{"a": 2.5, "b": null, "c": [], "g": "x", "h": [1, "x"]}', None]
+    got = {r["path"]: (r["n"], r["nulls"], r["codec"]) for r in structured.leaf_codecs(spark.createDataFrame([(r,) for r in rows], "j string"), "j").collect()}
+    assert got == {"a": (2, 0, "number"), "b": (2, 1, "text"), "c": (2, 0, "numbers"), "d": (1, 0, "json"), "e": (1, 1, None), "f": (1, 0, "boolean"), "g": (2, 0, "json"), "h": (1, 0, "json")}
+
+
+def test_strict_multi_get_of_null_values(spark):
+    o = spark.createDataFrame([("a", "x", None), ("a", "y", 2)], "tenant_id string, key string, size int")
+    assert catalog.lookup_all(o.select("tenant_id", "key"), o, ["size"]).count() == 2

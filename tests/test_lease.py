@@ -112,3 +112,36 @@ def test_admission_drops_late_ones_only_if_they_may_be(spark):
 def test_lease_bounds(spark):
     r = spark.range(1).select(*[c.alias(n) for n, c in lease.lease_after_read(F.lit(1000), F.lit(1000), 10).items()]).first()
     assert (r["new_lease"], r["refreshed"], r["expired"]) == (1010, True, True)
+
+
+def test_count_min_against_counters(spark):
+    import hashlib
+    import random
+
+    rnd = random.Random(4)
+    hits = [(i, f"k{min(int(rnd.expovariate(0.2)), 30)}") for i in range(700)]
+    rows, total = [[0] * 8 for _ in range(2)], 0
+    slot = lambda i, k: int(hashlib.md5(f"{i}/{k}".encode()).hexdigest()[:8], 16) % 8
+    for _, k in hits:
+        for i in range(2):
+            rows[i][slot(i, k)] = min(60, rows[i][slot(i, k)] + 1)
+        total += 1
+        if total % 16 == 0:
+            rows = [[c >> 1 for c in r] for r in rows]
+    got = {r["key"]: r["estimate"] for r in lease.count_min(spark.createDataFrame(hits, "seq long, key string"), "key", "seq", 8, 2, 60).collect()}
+    assert got == {k: min(rows[i][slot(i, k)] for i in range(2)) for _, k in hits}
+
+
+def test_proposals_by_mode_and_cooldown(spark):
+    rows = [("a", f"2024-01-01 00:00:{s:02}") for s in (0, 1, 10, 11, 20, 21, 30, 31)] + [("b", "2024-01-01 00:00:02")] * 5
+    df = spark.createDataFrame(rows, "key string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    told = lambda **k: sorted((r["key"], r["window_start"].second, r["action"]) for r in lease.copy_proposals(df, "key", "at", 10, 0.2, **k).collect())
+    assert told(mode="off") == [] and told(mode="observe", tracked=1) == [("a", s, "observe") for s in (0, 10, 20, 30)]
+    full = spark.createDataFrame([("b", 3)], "key string, n int")
+    assert told(cooldown=20) == [("a", 0, "copy"), ("a", 20, "copy"), ("b", 0, "copy")] and told(cooldown=20, replicas=full) == [("a", 0, "copy"), ("a", 20, "copy")]
+
+
+def test_promotion_queue_is_limited_and_by_tenant(spark):
+    hits = [("t1", "x", 1), ("t2", "x", 2), ("t2", "x", 3), ("t1", "x", 4), ("t1", "y", 5), ("t1", "y", 6)]
+    got = lease.promotion_queue(spark.createDataFrame(hits, "tenant string, key string, seq int"), "tenant", "key", "seq", 2, 2)
+    assert sorted((r["tenant"], r["key"], r["queued_at"]) for r in got.collect()) == [("t1", "x", 4), ("t2", "x", 3)]
