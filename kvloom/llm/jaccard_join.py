@@ -5,7 +5,8 @@
    the same result, this one keeps common shingles out of prefixes). Each node lists its prefix with the positions:
    sets with Jaccard >= t share a shingle of both prefixes, so no link is lost.
 3. Index lists are built per shingle and hold (set, size, position); lists with the same members are one list.
-4. Members are compared with leaders of their lists. The overlaps found are kept: they are the leaders' answers.
+4. Members are compared with leaders of their lists, those that stay outside a list's largest component also with
+   some of its members. The overlaps found are kept: they are the leaders' answers.
 5. Only pairs that are still in different components are looked at. A list's members lie in blocks of equal size
    and position; pairs of blocks whose sizes and positions rule the threshold out are skipped whole. What a
    leader's answers say of two members (bounds of their overlap from both overlaps with it) settles most other
@@ -37,8 +38,9 @@ TASK_BYTES, TOGETHER, WORDS_TOGETHER = 4 << 20, 1 << 17, 1 << 19
 BLOCK = 512
 #: Members outside a long list's largest component that may meet all slices of it; lists with more are refined.
 FEW, LEVELS = 32, 3
-#: Leaders that a member is compared with at most before all other pairs are looked at.
-STARS = 2
+#: Leaders that a member is compared with at most before all other pairs are looked at; members of the largest
+#: component that those outside it are held against in each list, and how many times.
+STARS, HEADS, ROUNDS = 2, 4, 2
 #: Families of hashes tried until no two sets share a signature.
 SEEDS = 8
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -462,7 +464,10 @@ def within_reach(rows: DataFrame, num: int, den: int) -> DataFrame:
     ends = rows.groupBy("list").agg(F.max(reach).alias("far"), F.min("n").alias("least"))
     near = rows.join(ends, "list").where((F.col("far") >= num * F.col("n")) & (reach >= num * F.col("least"))).drop("far", "least")
     of = near.groupBy("list", "comp").agg(F.count("*").alias("c")).groupBy("list").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("t"))
-    return near.join(of.where("m > t.c").select("list", "m", F.col("t.c").alias("most"), F.col("t.comp").alias("top")), "list")
+    mixed = near.join(of.where("m > t.c").select("list", "m", F.col("t.c").alias("most"), F.col("t.comp").alias("top")), "list")
+    # members of the largest component meet only those outside it
+    alone = mixed.where("comp <> top").groupBy("list").agg(F.max(reach).alias("far"), F.min("n").alias("least"))
+    return mixed.join(alone, "list").where((F.col("comp") != F.col("top")) | ((F.col("far") >= num * F.col("n")) & (reach >= num * F.col("least")))).drop("far", "least")
 
 
 def refined(rows: DataFrame, nodes: DataFrame, classes, num: int, den: int) -> DataFrame:
@@ -553,15 +558,18 @@ def _classes(docs: DataFrame, num: int, den: int, path: str) -> DataFrame:
 
     # leaders of each list, and of each member's leaders the likeliest ones
     other = F.xxhash64("sig")
-    leaders = lists.groupBy("list").agg(F.min(F.struct("sig", "n", "pos")).alias("l0"), F.min(F.struct(other.alias("h"), "sig", "n", "pos")).alias("l1"))
-    leaders = stored(leaders.select("list", *(F.col(f"l{k}.{c}").alias(f"{d}{k}") for k in (0, 1) for c, d in (("sig", "s"), ("n", "m"), ("pos", "p")))), f"{path}/leaders")
-    led = F.explode(F.array(*(F.struct(F.col(f"s{k}").alias("leader"), F.col(f"m{k}").alias("m"), F.col(f"p{k}").alias("at")) for k in (0, 1))))
-    stars = lists.join(leaders, "list").select("sig", "n", "pos", led.alias("l")).select("l.*", "sig", "n", "pos")
-    stars = stars.where(f"leader <> sig and {num + den} * (1 + least(n - 1 - pos, m - 1 - at)) >= {num} * (n + m)")
-    stars = stored(scored(stars.select(F.col("leader").alias("a"), F.col("sig").alias("b")).distinct(), bits, num, den), f"{path}/stars")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "a"))), 1, STARS)
-    picked = stars.groupBy("b").agg(best.alias("best")).select(F.explode("best.a").alias("a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    known = answers(stored(picked, f"{path}/picked"), "star")
+    leaders = lists.groupBy("list").agg(F.min(F.struct("sig", "n")).alias("l0"), F.min(F.struct(other.alias("h"), "sig", "n")).alias("l1"))
+    leaders = stored(leaders.select("list", *(F.col(f"l{k}.{c}").alias(f"{d}{k}") for k in (0, 1) for c, d in (("sig", "s"), ("n", "m")))), f"{path}/leaders")
+
+    def led(rows: DataFrame, heads: list[Column], most: int, name: str) -> DataFrame:
+        """Answers of each member and the likeliest of the heads (struct of s and m) of its lists, `most` of them."""
+        pairs = rows.select("sig", "n", F.explode(F.array(*heads)).alias("h")).where(f"h.s <> sig and {num} * greatest(h.m, n) <= {den} * least(h.m, n)")
+        likeliest = scored(pairs.select(F.col("h.s").alias("a"), F.col("sig").alias("b")).distinct(), bits, num, den)
+        best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "a"))), 1, most)
+        picked = likeliest.groupBy("b").agg(best.alias("best")).select(F.explode("best.a").alias("a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return answers(stored(picked, f"{path}/picked_{name}"), name)
+
+    known = led(lists.join(leaders, "list"), [F.struct(F.col(f"s{k}").alias("s"), F.col(f"m{k}").alias("m")) for k in (0, 1)], STARS, "star")
     links = known.where("link").select("a", "b")
     labels, used = components(links, "jaccard_star")
 
@@ -572,8 +580,22 @@ def _classes(docs: DataFrame, num: int, den: int, path: str) -> DataFrame:
 
     now = open_rows(lists.withColumn("depth", F.lit(1).cast("long")), "lists")
     drop(spark, f"{path}/placed_lists")
+    for turn in range(ROUNDS):
+        # those outside a list's largest component against some of its members
+        member = F.struct(F.col("sig").alias("s"), F.col("n").alias("m"))
+        heads = now.where("comp = top").groupBy("list").agg(*[F.min_by(member, F.xxhash64(F.lit(HEADS * turn + k), "sig")).alias(f"h{k}") for k in range(HEADS)])
+        more = led(now.where("comp <> top").select("list", "sig", "n").join(stored(heads, f"{path}/heads{turn}"), "list"), [F.col(f"h{k}") for k in range(HEADS)], HEADS, f"round{turn}")
+        known, new = known.union(more), more.where("link").select("a", "b")
+        if new.isEmpty():
+            break
+        links = links.union(new)
+        labels, old = components(links, f"jaccard_round{turn}")
+        drop(spark, *used)
+        used = old
+        now = open_rows(now.select("list", "sig", "n", "pos", "depth"), f"round{turn}")
+    known = stored(known.groupBy("a", "b").agg(F.max("shared").alias("shared")), f"{path}/known")
     both = known.select(F.col("a").alias("leader"), F.col("b").alias("sig"), "shared").union(known.select("b", "a", "shared"))
-    now = now.join(leaders.drop("p0", "p1"), "list")
+    now = now.join(leaders, "list")
     for k in (0, 1):
         now = now.join(both.withColumnsRenamed({"leader": f"s{k}", "shared": f"o{k}"}), [f"s{k}", "sig"], "left").withColumn(f"o{k}", F.when(F.col(f"s{k}") == F.col("sig"), F.col("n")).otherwise(F.coalesce(f"o{k}", F.lit(-1))))
     now = stored(now.drop("s0", "s1"), f"{path}/level0")
@@ -619,7 +641,7 @@ def _classes(docs: DataFrame, num: int, den: int, path: str) -> DataFrame:
             labels, old = components(links, f"jaccard_{step}")
             drop(spark, *used)
             used = old
-    drop(spark, f"{path}/lists", f"{path}/stars")
+    drop(spark, f"{path}/lists")
 
     placed = sets.join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     # a set without shingles links with nothing, not even with another empty one
