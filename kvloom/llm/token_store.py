@@ -3,7 +3,7 @@
 Each document's ids are cut where a rolling hash of the last ids says so, so equal passages give equal chunks.
 A chunk lies once in the store, under the SHA-256 of its bytes; a document is a recipe (its chunks' digests in
 order) with the root of the Merkle tree over them. Recipes lie in ascending document order. Reading back checks
-each chunk against its digest and each recipe against its root.
+each chunk against its digest, each recipe against its root and each part's roots against the manifest.
 
 Files below the store's folder, all Parquet:
   chunks/    digest, n, body (ids as little-endian uint16)
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kvloom.llm.common import drop, mix64, small, stored
+from kvloom.llm.common import drop, mix64, scratch, small, stored
 from kvloom.llm.tokens import LibraryEncoder, SpacedSegments, once, read_text
 
 #: Ids in the rolling window; a chunk ends where the window's hash has `MASK` clear; least and most ids of a chunk.
@@ -139,6 +139,15 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id
     recipes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/recipes")
     drop(spark, f"{path}/staged", f"{path}/again")
 
+    _roots(spark.read.parquet(f"{path}/recipes"), order).write.parquet(f"{path}/manifest")
+
+
+_MANIFEST = "part int, n_docs long, n_tokens long, root binary"
+
+
+def _roots(recipes: DataFrame, order: list) -> DataFrame:
+    """One manifest row for each part of the recipes: documents, tokens and the Merkle root of their roots in order."""
+
     def rooted(batches):
         import pandas as pd
 
@@ -153,15 +162,16 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id
         if last is not None:
             yield pd.DataFrame([(last, n_docs, n_tokens, merkle(roots))], columns=["part", "n_docs", "n_tokens", "root"])
 
-    by_part = spark.read.parquet(f"{path}/recipes").select("part", "doc_id", "row", "n_tokens", "root").repartition("part").sortWithinPartitions("part", *order)
-    by_part.select("part", "n_tokens", "root").mapInPandas(rooted, "part int, n_docs long, n_tokens long, root binary").write.parquet(f"{path}/manifest")
+    by_part = recipes.select("part", "doc_id", "row", "n_tokens", "root").repartition("part").sortWithinPartitions("part", *order)
+    return by_part.select("part", "n_tokens", "root").mapInPandas(rooted, _MANIFEST)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, verified of each document, from the store's files.
 
     Bodies are read where they lie: of each only its digest's check, its length and its crc32 are shuffled.
-    verified: every chunk has its digest and the recipe its root.
+    verified: every chunk has its digest, the recipe its root and the recipe's part the root in the manifest. Raises
+    ValueError where a part hasn't the documents and tokens of its manifest row, as no row could say so.
     """
 
     def summed(batches):
@@ -177,27 +187,34 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     each = recipes.select("row", F.explode(F.sequence(F.lit(0), n - 1)).alias("at"), "digests").select("row", "at", F.expr("substring(digests, at * 32 + 1, 32)").alias("digest"))
     joined = each.join(chunks, "digest").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "n", "crc", "sound"))).alias("chunks"))
 
+    # a row for each part: what its recipes give against its manifest row
+    found = _roots(recipes, [F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")]).select("part", F.struct("n_docs", "n_tokens").alias("found"), F.col("root").alias("found_root"))
+    parts = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").join(found, "part", "full")
+    parts = stored(parts.select("part", "n_tokens", F.struct("n_docs", "n_tokens").eqNullSafe(F.col("found")).alias("whole"), F.col("root").eqNullSafe(F.col("found_root")).alias("rooted")), scratch(spark, "token_store_parts"))
+    wrong = parts.where("not whole").count()
+    if wrong:
+        raise ValueError(f"recipes of {wrong} parts are not those of the manifest")
+
     # ids of the parts before, then of the documents before in the part
-    parts = recipes.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
-    before = parts.select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("before"))
+    before = parts.select("part", "rooted", (F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")).alias("before"))
     inside = Window.partitionBy("part").orderBy(F.col("doc_id").isNull(), "doc_id", "row")
     starts = recipes.select("part", "doc_id", "row", "n_tokens", "digests", "root").withColumn("start", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
-    rows = starts.join(F.broadcast(before), "part").join(joined, "row").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "digests", "root", "chunks")
+    rows = starts.join(F.broadcast(before), "part").join(joined, "row", "left").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "digests", "root", "chunks", "rooted")
 
     def rebuilt(batches):
         import pyarrow as pa
 
         for b in batches:
             ns, crcs, fine = [], [], []
-            for n_tokens, digests, root, chunks in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
-                crc = total = 0
+            for n_tokens, digests, root, chunks, rooted in zip(*(b.column(i).to_pylist() for i in range(2, 7))):
+                crc, total, chunks = 0, 0, chunks or []
                 for c in chunks:
                     crc = crc_join(crc, c["crc"], 4 * c["n"])
                     total += c["n"]
                 leaves = [digests[i : i + 32] for i in range(0, len(digests), 32)]
                 ns.append(total)
                 crcs.append(crc)
-                fine.append(total == n_tokens and len(leaves) == len(chunks) and merkle(leaves) == root and all(c["sound"] for c in chunks))
+                fine.append(rooted and total == n_tokens and len(leaves) == len(chunks) and merkle(leaves) == root and all(c["sound"] for c in chunks))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ns, pa.int64()), pa.array(crcs, pa.int64()), pa.array(fine, pa.bool_())], names=["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
     return rows.mapInArrow(rebuilt, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")

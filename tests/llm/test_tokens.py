@@ -120,6 +120,29 @@ def test_a_changed_chunk_is_noticed(spark, odd, tmp_path):
     assert not token_store.read_store(spark, path).first()["verified"]
 
 
+def test_lost_recipes_chunks_and_other_manifests_are_noticed(spark, odd, tmp_path):
+    path = f"file://{tmp_path}/store"
+    token_store.write_store(odd, path, PLAIN)
+
+    def put(name, keep):
+        df = spark.read.parquet(f"{path}/{name}")
+        rows, schema = df.collect(), df.schema
+        spark.createDataFrame(keep(rows), schema).write.mode("overwrite").parquet(f"{path}/{name}")
+        return lambda: spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    undo = put("recipes", lambda rows: rows[1:])
+    with pytest.raises(ValueError):
+        token_store.read_store(spark, path)
+    undo()
+    undo = put("manifest", lambda rows: [(r["part"], r["n_docs"], r["n_tokens"], bytes(32)) for r in rows])
+    assert not any(r["verified"] for r in token_store.read_store(spark, path).collect())
+    undo()
+    assert all(r["verified"] for r in token_store.read_store(spark, path).collect())
+    put("chunks", lambda rows: [])
+    got = token_store.read_store(spark, path).collect()
+    assert len(got) == odd.count() and not any(r["verified"] for r in got)
+
+
 def test_packing(spark, odd, nothing):
     t = Tokenizer.from_file(WORDY)
     rnd = random.Random(2)
